@@ -1,0 +1 @@
+"""ledgerline.streaming"""
