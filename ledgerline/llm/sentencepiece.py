@@ -70,7 +70,7 @@ def load_vocabulary(model_path: str) -> Vocabulary:
 class Codec:
     """Merge tables built from a vocabulary; one per Python worker."""
 
-    def __init__(self, vocabulary: Vocabulary, cache_words: int = 400_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, cache_words: int = 600_000) -> None:
         v = vocabulary
         self.vocabulary, self.cache_words = v, cache_words
         self.cache: dict[str, list[int]] = {}
@@ -84,6 +84,10 @@ class Codec:
         self.symbols = normal | {c: n + i for i, c in enumerate(inner)}
         self.other = self.width = n + len(inner)
         self.width += 1
+        self.by_char = np.full(0x110000, self.other, dtype=np.int64)
+        for p, i in self.symbols.items():
+            if len(p) == 1:
+                self.by_char[ord(p)] = i
         by_score = sorted(set(v.scores[i] for i in normal.values()), reverse=True)
         rank_of = {s: r for r, s in enumerate(by_score)}
         keys, ranks, made = [], [], []
@@ -117,31 +121,31 @@ class Codec:
 
     # encoding
 
-    def _pairs(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and product of each symbol with its right neighbour."""
-        rank = np.full(len(symbols), NEVER)
-        made = np.zeros(len(symbols), dtype=np.int64)
-        if len(symbols) > 1:
-            key = symbols[:-1] * self.width + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = (self.keys[at] == key) & (word[:-1] == word[1:])
-            rank[:-1][hit] = self.ranks[at[hit]]
-            made[:-1][hit] = self.made[at[hit]]
-        return rank, made
+    def _pairs(self, symbols: np.ndarray, word: np.ndarray, rank: np.ndarray, made: np.ndarray, at: np.ndarray) -> None:
+        """Sets rank and product of the symbols at ``at`` with their right neighbours."""
+        at = at[(at >= 0) & (at < len(symbols))]
+        rank[at] = NEVER
+        at = at[at < len(symbols) - 1]
+        at = at[word[at] == word[at + 1]]
+        key = symbols[at] * self.width + symbols[at + 1]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[found] == key
+        rank[at[hit]] = self.ranks[found[hit]]
+        made[at[hit]] = self.made[found[hit]]
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """The ids of each word (non-empty, in space symbols), all words at once."""
         if not words:
             return []
         text = "".join(words)
-        get, other = self.symbols.get, self.other
-        symbols = np.fromiter((get(c, other) for c in text), dtype=np.int64, count=len(text))
+        symbols = self.by_char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         word = np.repeat(np.arange(len(words)), lengths)
         start = np.arange(len(text))  # where in the text a symbol begins
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rank, made = np.empty_like(symbols), np.zeros_like(symbols)
+        self._pairs(symbols, word, rank, made, np.arange(len(symbols)))
         while len(symbols):
-            rank, made = self._pairs(symbols, word)
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, first)
             sizes = np.diff(np.r_[first, len(word)])
@@ -165,23 +169,18 @@ class Codec:
             symbols[where] = made[where]
             keep = np.ones(len(symbols), dtype=bool)
             keep[where + 1] = False
-            symbols, word, start = symbols[keep], word[keep], start[keep]
+            place = (np.cumsum(keep) - 1)[where]
+            symbols, word, start, rank, made = (a[keep] for a in (symbols, word, start, rank, made))
+            self._pairs(symbols, word, rank, made, np.r_[place - 1, place])
         word, symbols, start = (np.concatenate(a) for a in zip(*done))
         order = np.argsort(word, kind="stable")
         word, symbols, start = word[order], symbols[order], start[order]
         ends = np.searchsorted(word, np.arange(len(words)), side="right")
-        out, a, base = [], 0, len(self.vocabulary.pieces)
-        plain = (symbols < base)
-        ids = symbols.tolist()
-        for b in ends.tolist():
-            if plain[a:b].all():
-                out.append(ids[a:b])
-            else:
-                own: list[int] = []
-                for k in range(a, b):
-                    own.extend([ids[k]] if ids[k] < base else self._fallback(text[start[k]]))
-                out.append(own)
-            a = b
+        base, ids, bounds = len(self.vocabulary.pieces), symbols.tolist(), [0, *ends.tolist()]
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        for w in np.unique(word[symbols >= base]).tolist():
+            a, b = bounds[w], bounds[w + 1]
+            out[w] = list(chain.from_iterable([ids[k]] if ids[k] < base else self._fallback(text[start[k]]) for k in range(a, b)))
         return out
 
     def _fallback(self, char: str) -> list[int]:
