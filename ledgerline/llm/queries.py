@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import mixing, sentencepiece
+from ledgerline.llm import mixing, sentencepiece, simhash, urls, warc
+from ledgerline.sources.scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +27,56 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+RULES = [
+    urls.Rule("block", "net", "/"),
+    urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"),
+    urls.Rule("allow", "org", "/fr/"),
+]
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every url, by rule or else by the trees."""
+    return urls.judge(spark, _table(spark, sf_dir, "pages"), RULES)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix of sources takes from every document."""
     return mixing.mix(spark, _table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    groups = simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record and read back from the archive."""
+    archive = warc.write_archive(spark, _table(spark, sf_dir, "pages"), Scratch(spark, "warc").path)
+    return warc.read_index(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece, "op7_mixing": op7_mixing}
+    return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op6_urls": op6_urls,
+        "op7_mixing": op7_mixing,
+        "op8_simhash": op8_simhash,
+        "op10_warc": op10_warc,
+    }
+
+
+ORACLES = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        q AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d, max(page_id) OVER (PARTITION BY b) AS owner FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> owner THEN owner END AS refers_to
+        FROM q""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLES
