@@ -1,7 +1,7 @@
 """SentencePiece BPE encoding and decoding by vectorised merge rounds.
 
-A text becomes words: runs of the space symbol with what follows.  No piece of a
-word-split vocabulary crosses such a border (checked when the model is loaded),
+A text becomes words: runs of the space symbol with what follows, and line ends
+apart.  No piece of the vocabulary crosses such a border (checked when the model is loaded),
 so every word is encoded on its own and a word met before is looked up.  New
 words of a batch are encoded together in flat numpy symbol arrays.  Each round
 finds, segment by segment, the smallest pair rank of every word, merges that
@@ -22,7 +22,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 SPACE = "▁"
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-NEVER = np.int64(1) << 40
+_WORDS = re.compile(f"\n+|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+NEVER = np.int32(2**31 - 1)
 
 
 @dataclass
@@ -70,54 +69,46 @@ def load_vocabulary(model_path: str) -> Vocabulary:
 class Codec:
     """Merge tables built from a vocabulary; one per Python worker."""
 
-    def __init__(self, vocabulary: Vocabulary, cache_words: int = 600_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, cache_words: int = 300_000) -> None:
         v = vocabulary
         self.vocabulary, self.cache_words = v, cache_words
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
         normal = {p: i for i, p in enumerate(v.pieces) if v.kinds[i] == "normal"}
-        if any(SPACE in p.lstrip(SPACE) for p in normal):
+        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in normal):
             raise ValueError("a piece crosses a word border")
-        self.piece_ids = normal
-        n = len(v.pieces)
-        # symbols: pieces by id, then characters that only occur inside pieces, then everything else
-        inner = sorted({c for p in normal for c in p} - normal.keys())
-        self.symbols = normal | {c: n + i for i, c in enumerate(inner)}
-        self.other = self.width = n + len(inner)
-        self.width += 1
-        self.by_char = np.full(0x110000, self.other, dtype=np.int64)
-        for p, i in self.symbols.items():
+        n = self.count = len(v.pieces)
+        # symbols: pieces by id, then any other character by its code point
+        symbol = lambda part: normal.get(part, n + ord(part) if len(part) == 1 else None)
+        self.width = n + 0x110000
+        self.by_char = np.arange(n, self.width, dtype=np.int32)
+        for p, i in normal.items():
             if len(p) == 1:
                 self.by_char[ord(p)] = i
-        by_score = sorted(set(v.scores[i] for i in normal.values()), reverse=True)
+        by_score = sorted({v.scores[i] for i in normal.values()}, reverse=True)
         rank_of = {s: r for r, s in enumerate(by_score)}
-        keys, ranks, made = [], [], []
-        alone = np.zeros(len(by_score), dtype=bool)
         rank = {p: rank_of[v.scores[i]] for p, i in normal.items()}
+        rows = []
+        # ranks to be merged one at a time: those that several pieces share, and
+        # those of a part that some larger piece outranks or ties
+        self.alone = np.bincount(list(rank.values()), minlength=len(by_score)) > 1
         for p, i in normal.items():
             for k in range(1, len(p)):
-                left, right = p[:k], p[k:]
-                if left in self.symbols and right in self.symbols:
-                    keys.append(self.symbols[left] * self.width + self.symbols[right])
-                    ranks.append(rank[p])
-                    made.append(i)
-                    for part in (left, right):
-                        if part in normal and len(part) > 1 and rank[p] <= rank[part]:
-                            alone[rank[part]] = True
-        order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
-        self.keys = np.array(keys, dtype=np.int64)[order]
-        self.ranks = np.array(ranks, dtype=np.int64)[order]
-        self.made = np.array(made, dtype=np.int64)[order]
-        # a rank that several pieces share must be merged in order of place as well
-        shared = np.bincount(list(rank.values()), minlength=len(by_score)) > 1
-        self.alone = alone | shared
+                left, right = symbol(p[:k]), symbol(p[k:])
+                if left is None or right is None:
+                    continue
+                rows.append((left * self.width + right, rank[p], i))
+                for part in (p[:k], p[k:]):
+                    if len(part) > 1 and rank[p] <= rank[part]:
+                        self.alone[rank[part]] = True
+        table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 3)
+        self.keys, self.ranks, self.made = table[:, 0].copy(), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32)
         self.bytes = {int(v.pieces[i][3:5], 16): i for i in range(n) if v.kinds[i] == "byte"}
         self.unknown = v.kinds.index("unknown") if "unknown" in v.kinds else 0
-        self.id_text = [str(i) for i in range(n)]
         self.surface = [
             bytes([int(p[3:5], 16)]) if k == "byte" else b"" if k == "control" else v.unk_surface.encode() if k == "unknown" else p.replace(SPACE, " ").encode()
             for p, k in zip(v.pieces, v.kinds)
         ]
-        self.controls = {i for i, k in enumerate(v.kinds) if k == "control"}
+        self.is_control = np.array([k == "control" for k in v.kinds], dtype=bool)
 
     # encoding
 
@@ -127,41 +118,38 @@ class Codec:
         rank[at] = NEVER
         at = at[at < len(symbols) - 1]
         at = at[word[at] == word[at + 1]]
-        key = symbols[at] * self.width + symbols[at + 1]
+        key = symbols[at].astype(np.int64) * self.width + symbols[at + 1]
         found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         hit = self.keys[found] == key
         rank[at[hit]] = self.ranks[found[hit]]
         made[at[hit]] = self.made[found[hit]]
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word (non-empty, in space symbols), all words at once."""
+    def merge(self, words: list[str]) -> list[bytes]:
+        """The ids of each word (non-empty, in space symbols) as int32 bytes, all words at once."""
         if not words:
             return []
-        text = "".join(words)
-        symbols = self.by_char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        word = np.repeat(np.arange(len(words)), lengths)
-        start = np.arange(len(text))  # where in the text a symbol begins
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        symbols = self.by_char[np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)]
+        lengths = np.fromiter(map(len, words), dtype=np.int32, count=len(words))
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         rank, made = np.empty_like(symbols), np.zeros_like(symbols)
         self._pairs(symbols, word, rank, made, np.arange(len(symbols)))
         while len(symbols):
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, first)
-            sizes = np.diff(np.r_[first, len(word)])
-            per = np.repeat(best, sizes)
-            live = per < NEVER
-            if not live.all():  # words without a pair are finished
-                done.append((word[~live], symbols[~live], start[~live]))
-                symbols, word, start, rank, made, per = (a[live] for a in (symbols, word, start, rank, made, per))
+            per = np.repeat(best, np.diff(np.r_[first, len(word)]))
+            if best.max() == NEVER:  # words without a pair are finished
+                live = per < NEVER
+                done.append((word[~live], symbols[~live]))
+                symbols, word, rank, made, per = (a[live] for a in (symbols, word, rank, made, per))
                 if not len(symbols):
                     break
-            hit = rank == per
+            where = np.flatnonzero(rank == per)
             # pairs that overlap (a run of one symbol): every other one from the left
-            where = np.flatnonzero(hit)
             begin = np.r_[True, np.diff(where) != 1]
-            run = np.cumsum(begin) - 1
-            where = where[(where - where[begin][run]) % 2 == 0]
+            if not begin.all():
+                run = np.cumsum(begin) - 1
+                where = where[(where - where[begin][run]) % 2 == 0]
             only = self.alone[rank[where]]
             if only.any():
                 leftmost = np.r_[True, word[where][1:] != word[where][:-1]]
@@ -169,63 +157,54 @@ class Codec:
             symbols[where] = made[where]
             keep = np.ones(len(symbols), dtype=bool)
             keep[where + 1] = False
-            place = (np.cumsum(keep) - 1)[where]
-            symbols, word, start, rank, made = (a[keep] for a in (symbols, word, start, rank, made))
+            place = where - np.arange(len(where))
+            symbols, word, rank, made = (a[keep] for a in (symbols, word, rank, made))
             self._pairs(symbols, word, rank, made, np.r_[place - 1, place])
-        word, symbols, start = (np.concatenate(a) for a in zip(*done))
+        word, symbols = (np.concatenate(a) for a in zip(*done))
         order = np.argsort(word, kind="stable")
-        word, symbols, start = word[order], symbols[order], start[order]
-        ends = np.searchsorted(word, np.arange(len(words)), side="right")
-        base, ids, bounds = len(self.vocabulary.pieces), symbols.tolist(), [0, *ends.tolist()]
-        out = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
-        for w in np.unique(word[symbols >= base]).tolist():
-            a, b = bounds[w], bounds[w + 1]
-            out[w] = list(chain.from_iterable([ids[k]] if ids[k] < base else self._fallback(text[start[k]]) for k in range(a, b)))
+        word, symbols = word[order], symbols[order]
+        bounds = np.r_[0, 4 * np.searchsorted(word, np.arange(len(words)), side="right")].tolist()
+        raw = symbols.tobytes()
+        out = [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+        for w in np.unique(word[symbols >= self.count]).tolist():
+            own = symbols[bounds[w] // 4 : bounds[w + 1] // 4].tolist()
+            out[w] = np.array([i for s in own for i in ([s] if s < self.count else self._fallback(s))], dtype=np.int32).tobytes()
         return out
 
-    def _fallback(self, char: str) -> list[int]:
-        raw = char.encode()
+    def _fallback(self, symbol: int) -> list[int]:
+        raw = chr(symbol - self.count).encode()
         return [self.bytes[x] for x in raw] if all(x in self.bytes for x in raw) else [self.unknown]
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text; unknown symbols side by side stay one id each."""
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text as int32; unknown symbols side by side stay one id each."""
         prefix = SPACE if self.vocabulary.dummy_prefix else ""
         split = [_WORDS.findall(prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self.cache) > self.cache_words:
+            self.cache.clear()
         cache = self.cache
-        if len(cache) > self.cache_words:
-            cache.clear()
-        new = list({w: None for words in split for w in words if w not in cache})
-        for a, b in _slices(new, 1 << 21):
+        new = list({w for words in split for w in words if w not in cache})
+        for a, b in _slices(new, 1 << 18):
             cache.update(zip(new[a:b], self.merge(new[a:b])))
-        return [list(chain.from_iterable(map(cache.__getitem__, words))) for words in split]
+        return [np.frombuffer(b"".join(map(cache.__getitem__, words)), dtype=np.int32) for words in split]
 
     # decoding
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids: bytes are read as UTF-8 with a replacement for each bad one."""
+        ids = np.asarray(ids, dtype=np.int32)
+        cut = np.flatnonzero(self.is_control[ids])  # control ids end a run of bytes
+        parts = [p.tolist() for p in np.split(ids, cut)] if len(cut) else [ids.tolist()]
         surface = self.surface
-        raw = b"".join([surface[i] for i in ids])
+        raws = [b"".join([surface[i] for i in p]) for p in parts]
         if self.vocabulary.dummy_prefix:
             # the first piece with a surface gives up one leading space symbol
-            for i in ids:
-                if surface[i]:
-                    if self.vocabulary.kinds[i] == "normal" and self.vocabulary.pieces[i].startswith(SPACE):
-                        raw = raw[1:]
+            for k, part in enumerate(parts):
+                lead = next((i for i in part if surface[i]), None)
+                if lead is not None:
+                    if self.vocabulary.kinds[lead] == "normal" and self.vocabulary.pieces[lead].startswith(SPACE):
+                        raws[k] = raws[k][1:]
                     break
-        if not self.controls.isdisjoint(ids):  # control ids end a run of bytes
-            parts, part = [], []
-            for i in ids:
-                if i in self.controls:
-                    parts.append(part)
-                    part = []
-                else:
-                    part.append(i)
-            raws = [b"".join([surface[i] for i in x]) for x in [*parts, part]]
-            lost = sum(map(len, raws)) - len(raw)
-            first = next((k for k, x in enumerate(raws) if x), 0)
-            raws[first] = raws[first][lost:]
-            return "".join(map(_decode, raws))
-        return _decode(raw)
+        return "".join(map(_decode, raws))
 
 
 def _decode(raw: bytes) -> str:
@@ -273,7 +252,7 @@ def _worker_codec(shared) -> Codec:
     return _codec[1]
 
 
-def _pieces_of(batch: pa.RecordBatch, name: str, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def _pieces_of(batch: pa.RecordBatch, name: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text, long texts alone."""
     at = batch.schema.get_field_index(name)
     column = batch.column(at)
@@ -296,7 +275,7 @@ def encode_decode(spark: SparkSession, documents: DataFrame, model_path: str, ke
             for batch in _pieces_of(whole, "__text"):
                 ids = codec.encode(batch.column(1).to_pylist())
                 lengths = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum()))
+                flat = np.concatenate([np.empty(0, dtype=np.int32), *ids])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat))
                 decoded = pa.array([codec.decode(x) for x in ids], type=pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], names=[key, "ids", "decoded"])
