@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import mixing, sentencepiece, simhash, urls, warc
+from ledgerline.llm import mixing, quality, sentencepiece, simhash, toxicity, urls, warc
 from ledgerline.sources.scratch import Scratch
 
 
@@ -27,6 +27,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text."""
+    scored = toxicity.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text."""
+    return quality.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 RULES = [
     urls.Rule("block", "net", "/"),
     urls.Rule("allow", "example.net", "/en/"),
@@ -60,9 +71,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op5_toxicity": op5_toxicity,
         "op6_urls": op6_urls,
         "op7_mixing": op7_mixing,
         "op8_simhash": op8_simhash,
+        "op9_quality": op9_quality,
         "op10_warc": op10_warc,
     }
 
