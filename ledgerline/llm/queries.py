@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import mixing, quality, sentencepiece, simhash, toxicity, urls, warc
+from ledgerline.llm import cover, mixing, quality, sentencepiece, simhash, topk, toxicity, urls, warc
 from ledgerline.sources.scratch import Scratch
 
 
@@ -27,6 +27,16 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95."""
+    return cover.near_duplicates(spark, _table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best candidates of every vector whose id is divisible by 50."""
+    return topk.search(spark, _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text."""
     scored = toxicity.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -71,6 +81,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op3_cover": op3_cover,
+        "op4_topk": op4_topk,
         "op5_toxicity": op5_toxicity,
         "op6_urls": op6_urls,
         "op7_mixing": op7_mixing,
