@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -146,6 +147,20 @@ def score(spark: SparkSession, documents: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
+def score_column(spark: SparkSession, model: Model):
+    """The score as a function of a text column, for filters that keep all other columns."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value)
+        weights, intercept = np.array(shared.value.weights), shared.value.intercept
+        for part in parts:
+            found = np.array([scorer.evidence(t) for t in part]).reshape(-1, 2)
+            yield pd.Series(sigmoid(found @ weights + intercept), dtype=float)
+
+    return F.pandas_udf(run, "double")
+
+
 def classify(spark: SparkSession, documents: DataFrame, labels: DataFrame, threshold: float = 0.3, parts: int = 5, held_out: int = 0, **training) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     model = train(spark, documents, labels, parts, held_out, **training)

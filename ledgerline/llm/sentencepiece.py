@@ -264,8 +264,8 @@ def _pieces_of(batch: pa.RecordBatch, name: str, most: int = 1 << 21) -> Iterato
             yield batch.slice(a, b - a)
 
 
-def encode_decode(spark: SparkSession, documents: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>, decoded string) of every row; map-only, nothing is shuffled."""
+def encode_decode(spark: SparkSession, documents: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
+    """(key, ids array<int>, decoded string) of every row, with the text if asked; map-only, nothing is shuffled."""
     vocabulary = load_vocabulary(model_path)
     shared = spark.sparkContext.broadcast((hash((model_path, len(vocabulary.pieces))), vocabulary))
 
@@ -278,8 +278,10 @@ def encode_decode(spark: SparkSession, documents: DataFrame, model_path: str, ke
                 flat = np.concatenate([np.empty(0, dtype=np.int32), *ids])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat))
                 decoded = pa.array([codec.decode(x) for x in ids], type=pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], names=[key, "ids", "decoded"])
+                kept = [pc.fill_null(batch.column(1), "")] if keep_text else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded, *kept], names=schema.names)
 
     rows = documents.select(F.col(key), F.col(text).alias("__text"))
-    schema = T.StructType([rows.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    fields = [rows.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    schema = T.StructType(fields + [T.StructField("text", T.StringType())] * keep_text)
     return rows.mapInArrow(run, schema)

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -266,6 +267,18 @@ def score(spark: SparkSession, documents: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, score double, passages array<struct<first:int,last:int,score:double,tail:double>>")
 
 
+def score_column(spark: SparkSession, model: Model):
+    """The score as a function of a text column, for filters that keep all other columns."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = shared.value
+        for part in parts:
+            yield pd.Series(sigmoid(np.array([excess(t, m) for t in part], dtype=float) * m.weight + m.intercept), dtype=float)
+
+    return F.pandas_udf(run, "double")
+
+
 def classify(spark: SparkSession, documents: DataFrame, labels: DataFrame, threshold: float = 0.7, parts: int = 3, held_out: int = 1, **training) -> DataFrame:
     """(doc_id, held_out, score, predicted, passages) of every document."""
     model = train(spark, documents, labels, parts, held_out, **training)
