@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import cover, mixing, quality, sentencepiece, simhash, topk, toxicity, urls, warc
+from ledgerline.llm import cover, language_model, mixing, quality, sentencepiece, simhash, topk, toxicity, urls, warc
+from ledgerline.llm.labelled import fold
 from ledgerline.sources.scratch import Scratch
 
 
@@ -27,6 +28,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole text, learnt from all but one fold of seven."""
+    return language_model.score(spark, _table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at cosine 0.95."""
     return cover.near_duplicates(spark, _table(spark, sf_dir, "embeddings"), cosine=0.95)
@@ -81,6 +87,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_language_model": op2_language_model,
         "op3_cover": op3_cover,
         "op4_topk": op4_topk,
         "op5_toxicity": op5_toxicity,
