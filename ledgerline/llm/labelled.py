@@ -27,7 +27,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, parts:
 
 def fit_logistic(features: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and intercept by Newton's method on standardised features; constant with one class."""
-    x = np.asarray(features, dtype=float).reshape(len(y), -1)
+    x = np.asarray(features, dtype=float).reshape(len(y), -1 if len(y) else 1)
     if len(y) == 0 or y.min() == y.max():
         share = 0.5 if len(y) == 0 else float(y[0])
         return np.zeros(x.shape[1]), float(np.clip(share * 60 - 30, -30, 30))
