@@ -43,14 +43,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document of smallest id of every group of near copies: five-word shingles, three bits."""
     groups = simhash.near_duplicates(spark, docs, words=5)
     dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("__dropped"), "left_anti")
+    return docs.join(dropped.alias("gone"), docs["doc_id"] == F.col("gone.__dropped"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     taken = mixing.mix(spark, docs).groupBy(F.col("doc_id").alias("__id")).agg(F.floor(F.sum("copies") / F.count("*")).cast("int").alias("__copies"))
-    repeated = docs.join(taken.filter("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return repeated.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).drop("__copy")
+    taken = taken.filter("__copies > 0").alias("taken")
+    repeated = docs.alias("docs").join(taken, F.col("docs.doc_id").eqNullSafe(F.col("taken.__id")))
+    copies = F.explode(F.array_repeat(F.struct("docs.*"), F.col("taken.__copies"))).alias("copy")
+    return repeated.select(copies).select("copy.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
