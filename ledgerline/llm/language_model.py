@@ -9,7 +9,10 @@ Seating is sampled by Gibbs sweeps.  A dish's customers in one restaurant are
 reseated together: a seating is drawn customer by customer from the Chinese
 restaurant process (the waiting time to the next new table has a closed
 survival function, so this costs time in tables, not customers) and accepted by
-Metropolis-Hastings, which makes it a draw from the conditional.  All dishes of a
+Metropolis-Hastings, which makes it a draw from the conditional.  A dish of many
+tables goes on in leaps that grow with its customers, with normally distributed
+gains, so its cost grows with the logarithm of its count; for such dishes the
+draw is that close, no closer.  All dishes of a
 sweep are reseated at once against the totals of the sweep before.  Predictive
 probabilities are averaged over ``sweeps`` states.  Discounts are estimated from
 the numbers of pairs, and of words' tables, seen once and twice.
@@ -118,34 +121,69 @@ def seat(c: np.ndarray, draw: tuple[np.ndarray, np.ndarray], others: list[tuple[
     act = np.flatnonzero(c > 1)
     turn = 0
     while len(act):
-        gone, n, all_ = d * t[act], seated[act], c[act].astype(np.float64)
-        a = (draw[0][act] + gone) * draw[1][act]
-        lead = lgamma(a + n - gone) - lgamma(n - gone)
-        level = np.log(uniform(key[act], salt * 1_000_003 + turn))
-        open_ = level > lgamma(all_ - gone) - lgamma(a + all_ - gone) + lead
-        end = all_.copy()
-        if open_.any():
-            low, high, g, aa, ll, lv = n[open_], all_[open_] - 1, gone[open_], a[open_], lead[open_], level[open_]
-            while True:
-                wide = low < high
-                if not wide.any():
-                    break
-                middle = np.floor((low + high) / 2)
-                falls = lgamma(middle + 1 - g) - lgamma(aa + middle + 1 - g) + ll < lv
-                high = np.where(wide & falls, middle, high)
-                low = np.where(wide & ~falls, middle + 1, low)
-            end[open_] = low + 1
-        for w, (strength, parent) in zip(weights, (draw, *others)):
-            b = (strength[act] + gone) * parent[act]
-            w[act] += lgamma(b + end - gone) - lgamma(b + n - gone)
-        act, end = act[open_], end[open_]
-        t[act] += 1
-        seated[act] = end
-        act = act[end < c[act]]
+        n, all_ = seated[act], c[act].astype(np.float64)
+        strength, parent = draw[0][act], draw[1][act]
+        number = salt * 1_000_003 + turn
+        many = t[act] >= EXACT_TABLES
+        if many.any():
+            many[many] = _rate(n[many], t[act][many], strength[many], parent[many], d) * np.floor(n[many] / LEAP) >= LEAST_GAIN
+        for part, step in ((~many, _next_table), (many, _leap)):
+            if not part.any():
+                continue
+            at = act[part]
+            end, gain, gone = step(n[part], all_[part], t[at], strength[part], parent[part], d, key[at], number)
+            for w, (s, p) in zip(weights, (draw, *others)):
+                b = (s[at] + gone) * p[at]
+                w[at] += lgamma(b + end - gone) - lgamma(b + n[part] - gone)
+            t[at] += gain
+            seated[at] = end
+        act = act[seated[act] < c[act]]
         turn += 1
     return t, weights
 
 
+#: A dish with so many tables goes on in leaps of an n-th of its customers, where a leap gains so many tables.
+EXACT_TABLES, LEAP, LEAST_GAIN = 64, 16, 4
+
+
+def _rate(n: np.ndarray, t: np.ndarray, strength: np.ndarray, parent: np.ndarray, d: float) -> np.ndarray:
+    """Probability that the customer after n at t tables opens one."""
+    a = (strength + d * t) * parent
+    return a / (a + n - d * t)
+
+
+def _next_table(n, all_, t, strength, parent, d, key, number) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(customers, tables gained, discounted tables): up to the next new table, by its waiting time."""
+    gone = d * t
+    a = (strength + gone) * parent
+    lead = lgamma(a + n - gone) - lgamma(n - gone)
+    level = np.log(uniform(key, number))
+    open_ = level > lgamma(all_ - gone) - lgamma(a + all_ - gone) + lead
+    end = all_.copy()
+    if open_.any():
+        low, high, g, aa, ll, lv = n[open_], all_[open_] - 1, gone[open_], a[open_], lead[open_], level[open_]
+        while True:
+            wide = low < high
+            if not wide.any():
+                break
+            middle = np.floor((low + high) / 2)
+            falls = lgamma(middle + 1 - g) - lgamma(aa + middle + 1 - g) + ll < lv
+            high = np.where(wide & falls, middle, high)
+            low = np.where(wide & ~falls, middle + 1, low)
+        end[open_] = low + 1
+    return end, open_.astype(np.float64), gone
+
+
+def _leap(n, all_, t, strength, parent, d, key, number) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many customers at once: their new tables are normal about the rate in mid-leap."""
+    m = np.minimum(all_ - n, np.floor(n / LEAP))
+    p = _rate(n + m / 2, t + _rate(n, t, strength, parent, d) * m / 2, strength, parent, d)
+    u, v = uniform(key, number), uniform(~key, number)
+    z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+    gain = np.clip(np.rint(p * m + np.sqrt(m * p * (1 - p)) * z), 0, m)
+    return n + m, gain, d * (t + gain / 2)
+
+
 def one_table(c: np.ndarray, strength: np.ndarray, parent: np.ndarray, d: float) -> np.ndarray:
     """Log weight of the seating with a single table."""
     b = (strength + d) * parent
