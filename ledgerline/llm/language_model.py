@@ -455,7 +455,7 @@ TOTALS_RAW = TOTALS.replace("customers binary", "customers binary, seats binary"
 
 
 def score(
-    spark: SparkSession, documents: DataFrame, held: Column, sweeps: int = 2, theta: float = 1.0, key: str = "doc_id", text: str = "text", chunk_tokens: int = 3_000_000, bucket_tokens: int = 2_000_000
+    spark: SparkSession, documents: DataFrame, held: Column, sweeps: int = 2, theta: float = 1.0, key: str = "doc_id", text: str = "text", chunk_tokens: int = 2_000_000, bucket_tokens: int = 2_000_000
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns where ``held`` is false."""
     scratch = Scratch(spark, "lm")
