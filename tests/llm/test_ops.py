@@ -10,16 +10,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
-import xxhash
 
 import oracle
 from ledgerline.llm import queries
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def lower(text: str) -> str:
-    return text.translate({c: c + 32 for c in range(65, 91)})
+from plain import WORD, fingerprint, lower, mixing_targets, smallest_reachable
 
 
 @pytest.fixture(scope="module")
@@ -33,21 +27,6 @@ def vectors(spark, sf):
     return np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
 
 
-def smallest_reachable(n: int, pairs) -> list[int]:
-    root = list(range(n))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(n)]
-
-
 def test_sentencepiece_equals_library(spark, sf, documents):
     import public_tokenizers
     import sentencepiece
@@ -153,19 +132,7 @@ def test_mixing_meets_targets(spark, sf, documents):
     by_source = Counter()
     for d, r in documents.items():
         by_source[r.source] += sizes[d]
-    order = sorted((s for s in by_source if s is not None), key=lambda s: s.encode()) + [s for s in by_source if s is None]
-    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
-    total, capped = sum(by_source.values()), {}
-    while True:
-        open_ = [s for s in order if s not in capped]
-        left = total - sum(capped.values())
-        share = sum(weight[s] for s in open_)
-        target = {s: left * weight[s] / share for s in open_}
-        over = {s: 3.0 * by_source[s] for s in open_ if target[s] > 3 * by_source[s]}
-        if not over:
-            break
-        capped |= over
-    target |= capped
+    target = mixing_targets(by_source)
     got = queries.op7_mixing(spark, sf).collect()
     taken = Counter()
     for r in got:
@@ -174,21 +141,13 @@ def test_mixing_meets_targets(spark, sf, documents):
         assert r.target == pytest.approx(target[source], rel=1e-9)
         assert 0 <= r.taken <= 3 * r.size
         taken[source] += r.taken
-    for source in order:
+    for source in target:
         assert taken[source] == pytest.approx(target[source], rel=0.02)
 
 
 def test_simhash_links_all(spark, sf, documents):
     ids = sorted(documents)
-    prints = []
-    for d in ids:
-        words = WORD.findall(lower(documents[d].text or ""))
-        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
-        bits = Counter()
-        for s in shingles:
-            h = xxhash.xxh64_intdigest(s.encode(), seed=42)
-            bits.update(b for b in range(64) if h >> b & 1)
-        prints.append(sum(1 << b for b, n in bits.items() if 2 * n > len(shingles)))
+    prints = [fingerprint(documents[d].text, 3) for d in ids]
     pairs = [(i, j) for i in range(len(ids)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
     roots = smallest_reachable(len(ids), pairs)
     got = {r.doc_id: r for r in queries.op8_simhash(spark, sf).collect()}
