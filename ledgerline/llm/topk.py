@@ -70,7 +70,7 @@ class Block:
         for step, (a, b) in enumerate(zip(self.depths[:-1], self.depths[1:])):
             if len(scores) == k and bounds[step] < scores[-1]:
                 return scores, ids, a
-            if len(used) * b >= n:  # the lists now cover nearly everything: the rest at once
+            if not len(used) or len(used) * b >= n:  # no list to read, or they now cover nearly everything: the rest at once
                 fresh = ~seen
             else:
                 fresh = np.zeros(n, dtype=bool)
