@@ -239,6 +239,8 @@ def dual_links(x: np.ndarray, tx: tuple, y: np.ndarray, ty: tuple, cosine: float
                 links.counts[own] += len(other)
                 links.counts[other] += len(own)
                 links.join_all(np.r_[own, np.repeat(own[:1], len(other))], np.r_[np.repeat(other[:1], len(own)), other])
+            if whole.any():  # the product of what stays open would bring these pairs back
+                dense = False
             near &= ~whole
             keep_l.append(i[near])
             keep_r.append(j[near])
