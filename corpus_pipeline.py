@@ -7,7 +7,7 @@ the last return the columns of their input.
 
 Defined results: null texts are empty ones and are judged as such; rows without
 an id are never dropped as duplicates; rows that repeat a doc_id are one document
-and stay together, and share its copies evenly, rounded down.
+to the near copies and stay together there, but each is mixed as a row of its own.
 """
 
 from __future__ import annotations
@@ -47,12 +47,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    taken = mixing.mix(spark, docs).groupBy(F.col("doc_id").alias("__id")).agg(F.floor(F.sum("copies") / F.count("*")).cast("int").alias("__copies"))
-    taken = taken.filter("__copies > 0").alias("taken")
-    repeated = docs.alias("docs").join(taken, F.col("docs.doc_id").eqNullSafe(F.col("taken.__id")))
-    copies = F.explode(F.array_repeat(F.struct("docs.*"), F.col("taken.__copies"))).alias("copy")
-    return repeated.select(copies).select("copy.*")
+    """Every row as often as the mix takes it."""
+    numbered = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("copy"), F.monotonically_increasing_id().alias("__row"))
+    rows = Scratch(spark, "rows").save(numbered, "rows")
+    taken = mixing.mix(spark, rows.select("copy.doc_id", "copy.text", "copy.source", "__row"), row="__row")
+    taken = taken.filter("copies > 0").select(F.col("__row").alias("__taken"), F.col("copies").cast("int").alias("__copies"))
+    repeated = rows.join(taken, F.col("__row") == F.col("__taken"))
+    return repeated.select(F.explode(F.array_repeat("copy", F.col("__copies"))).alias("copy")).select("copy.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,12 +172,18 @@ def mix(
     max_repeats: int = 3,
     tolerance: float = 1e-7,
     rounds: int = 100,
+    row: str | None = None,
 ) -> DataFrame:
-    """``documents`` (doc_id, text, source) to (doc_id, source, size, source_size, target, copies, taken)."""
+    """``documents`` (doc_id, text, source) to (doc_id, source, size, source_size, target, copies, taken).
+
+    ``row`` names a column that tells rows apart; it is returned too, and rows
+    that share an id are then ranked by their texts as well.
+    """
     scratch = Scratch(spark, "mixing")
+    own, told = ([], ["doc_id"]) if row is None else ([row], ["doc_id", "text"])
     sized = scratch.save(
-        documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn(
-            "hash", F.xxhash64("doc_id")
+        documents.select(
+            "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(*told).alias("hash"), *own
         ),
         "sizes",
     )
@@ -196,7 +202,7 @@ def mix(
         .select(F.col("source").alias("os"), F.col("size").alias("oz"), F.col("salt").alias("ot"), "n", "total", "target", "copies", "first"),
         "offsets",
     )
-    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("hash", "doc_id")))
+    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("source", "size", "salt").orderBy("hash", "doc_id", *own)))
     placed = ranked.join(offsets, _same("source", "os") & (F.col("size") == F.col("oz")) & (F.col("salt") == F.col("ot")))
     share = F.floor(F.col("copies") / F.col("n"))
     extra = F.col("first") + F.col("rank") <= F.col("copies") - share * F.col("n")
@@ -208,4 +214,5 @@ def mix(
         "target",
         (share + extra.cast("long")).alias("copies"),
         ((share + extra.cast("long")) * F.col("size")).cast("long").alias("taken"),
+        *own,
     )
