@@ -8,6 +8,7 @@ machine-local folder would be invisible to the other executors.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,18 +35,23 @@ class Scratch:
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Writes ``df`` and returns the table read back; the old lineage is gone."""
+    def save(self, df: DataFrame, name: str = "t", parts: list[str] | None = None) -> DataFrame:
+        """Writes ``df`` and returns the table read back; the old lineage is gone.
+
+        ``parts`` names columns whose values become folders, so that a filter on them reads no others.
+        """
         self._count += 1
         path = f"{self.path}/{self._count:03d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        df.write.partitionBy(*parts or []).option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     def drop(self, df: DataFrame) -> None:
-        """Deletes the files of a table that nothing reads any more."""
+        """Deletes the files that a table of this query is read from, and lets Spark drop the shuffles behind it."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if self.path.rsplit("/", 1)[1] in parent:
                 path = jvm.org.apache.hadoop.fs.Path(parent)
                 path.getFileSystem(conf).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
