@@ -45,12 +45,12 @@ class Scratch:
         df.write.partitionBy(*parts or []).option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes the files that a table of this query is read from, and lets Spark drop the shuffles behind it."""
+    def drop(self, df: DataFrame, *parts: str) -> None:
+        """Deletes a table of this query, or only its folders ``parts`` (``column=value``), and lets Spark drop the shuffles behind it."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if self.path.rsplit("/", 1)[1] in parent:
+            if self.path.rsplit("/", 1)[1] in parent and (not parts or parent.rsplit("/", 1)[1] in parts):
                 path = jvm.org.apache.hadoop.fs.Path(parent)
                 path.getFileSystem(conf).delete(path, True)
         gc.collect()
