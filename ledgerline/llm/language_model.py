@@ -6,67 +6,74 @@ tables, and the parent's own parent is uniform over the vocabulary.  A text's
 words are followed by one end, which is also what precedes the first word.
 
 Seating is sampled by Gibbs sweeps.  A dish's customers in one restaurant are
-reseated together: a seating is drawn customer by customer from the Chinese
-restaurant process (the waiting time to the next new table has a closed
-survival function, so this costs time in tables, not customers) and accepted by
-Metropolis-Hastings, which makes it a draw from the conditional.  A dish of many
-tables goes on in leaps that grow with its customers, with normally distributed
-gains, so its cost grows with the logarithm of its count; for such dishes the
-draw is that close, no closer.  All dishes of a
-sweep are reseated at once against the totals of the sweep before.  Predictive
-probabilities are averaged over ``sweeps`` states.  Discounts are estimated from
-the numbers of pairs, and of words' tables, seen once and twice.
-
-Nothing is collected.  Documents become chunks of some millions of tokens: arrays
-of local word numbers in a table.  Chunks and hash buckets exchange packed
-arrays: a chunk sends a bucket the hashes of its distinct words and pairs with
-their counts, and gets back the corpus totals in the same order; in every sweep
-it sends the tables it answers for and gets back the totals of its words.  A
-pair's random numbers derive from its words, so all chunks that hold a pair seat
-it alike and no seating is sent.  One chunk of those that hold a pair owns it.
-Frequent words and pairs are aggregated in their chunk before anything moves,
-and the number of buckets grows with the tokens.
-
-Words are compared by 64-bit hashes, pairs by 56 bits.
+reseated together, given the restaurant's other tables and the dish's parent
+probability.  For up to ``SMALL`` customers the number of tables is drawn from
+its conditional itself (generalised Stirling numbers).  For more, a seating is
+drawn from the Chinese restaurant process, table by table through the waiting
+time to the next new one, and accepted by Metropolis-Hastings against the
+present seating, which its random numbers draw again; so both are exact, and
+cost grows with tables, not with customers.  The parent's dishes are reseated
+likewise.  All dishes of a sweep meet the totals of the sweep before.  The first
+``burn_in`` sweeps are discarded and the predictive probabilities of the next
+``samples`` are averaged.  Discounts are estimated from the numbers of pairs,
+and of words' tables, seen once and twice; ``theta`` is given.
+
+Nothing is collected.  The work is a set of nodes with a state each that send
+each other packed arrays: documents become chunks of some millions of tokens;
+word nodes hold the words of a range of hashes with their totals; pair nodes
+hold the dishes of a share of all word pairs.  Each distinct pair of the corpus
+is seated once per sweep, at one node.  Pairs are dealt by both words, so a
+frequent word's restaurant or dish is spread over all pair nodes, which send its
+word node one partial sum each.  A message with nothing in it is not sent, so
+there are never more messages than distinct pairs of chunks.  The number of
+nodes grows with the tokens and each node's share stays the same.
+
+Words are told apart by 64-bit hashes; pairs by both of their words.
 
 Defined results: a null or empty text is its end alone; tokens without training
 count have parent probability from the uniform share; documents that repeat a
-doc_id are scored, and learnt from, as often as they appear.
+doc_id, or have none, are scored, and learnt from, as often as they appear; an
+empty table gives an empty table; other columns are never read.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, functions as F
 
 from ledgerline.sources.scratch import Scratch
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-CHUNK = "chunk long, n_tokens long, docs array<long>, held array<boolean>, lens array<int>, last int, tokens binary, words binary"
-MESSAGE = "bucket int, chunk long, words binary, word_counts binary, pairs binary, pair_counts binary"
-REPLY = "chunk long, bucket int, place binary, word_counts binary, pair_counts binary, owner binary, stats array<double>"
-STATE = "chunk long, docs array<long>, held array<boolean>, lens array<int>, last int, tokens binary, place binary, word_counts binary, pair_counts binary, owner binary, sizes binary"
-TABLES = "bucket int, chunk long, place binary, tables binary, customers binary"
-TOTALS = "chunk long, bucket int, sweep int, tables binary, customers binary, stats array<double>"
+#: A node's state or a message to it: what it is, the node, whom it is from, packed arrays, numbers for all.
+ENVELOPE = "kind string, node long, origin long, parts array<binary>, stats array<double>"
+SCHEMA = pa.schema([("kind", pa.string()), ("node", pa.int64()), ("origin", pa.int64()), ("parts", pa.list_(pa.binary())), ("stats", pa.list_(pa.float64()))])
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+#: Dishes of up to so many customers are drawn from their conditional, others by Metropolis-Hastings.
+SMALL = 64
+#: Dishes of more customers are seated one by one, others all at once; both draw the same seatings.
+SINGLE = 512
+ODD = np.uint64(0x9E3779B97F4A7C15)
+PLACE = np.uint64(2**32 - 1)
 
 
 # packed arrays
 
 
-def squeeze(a: np.ndarray) -> bytes:
+def squeeze(a: np.ndarray, dtype: str = "<u8") -> bytes:
     """An array as compressed byte planes."""
     import zstandard
 
-    a = np.ascontiguousarray(a)
+    a = np.ascontiguousarray(a, dtype=dtype)
     return zstandard.compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
 
 
-def expand(raw: bytes, dtype: str) -> np.ndarray:
+def expand(raw: bytes, dtype: str = "<u8") -> np.ndarray:
     import zstandard
 
     size = np.dtype(dtype).itemsize
@@ -75,11 +82,45 @@ def expand(raw: bytes, dtype: str) -> np.ndarray:
 
 
 def squeeze_sorted(a: np.ndarray) -> bytes:
-    return squeeze(np.diff(a, prepend=a.dtype.type(0)))
+    a = a.astype(np.uint64)
+    return squeeze(np.diff(a, prepend=np.uint64(0)))
 
 
-def expand_sorted(raw: bytes, dtype: str) -> np.ndarray:
-    return np.cumsum(expand(raw, dtype), dtype=dtype)
+def expand_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(expand(raw), dtype=np.uint64)
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    """(kind, node, origin, parts, stats) rows as Arrow."""
+    columns = list(zip(*rows)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
+
+
+def _joined(rows: list[dict], part: int, read: Callable[[bytes], np.ndarray] = expand) -> np.ndarray:
+    return np.concatenate([np.empty(0, dtype=np.uint64), *(read(r["parts"][part]) for r in rows)])
+
+
+def _of(rows: list[dict], kind: str) -> list[dict]:
+    """The rows of a kind by origin."""
+    return sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["origin"])
+
+
+def _spread(arrived: DataFrame, nodes: int) -> GroupedData:
+    """Nodes in partitions of a stated number: few bytes are much work here, so they are not to be put together."""
+    partitions = int(arrived.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return arrived.repartition(max(partitions, nodes), "node").groupBy("node")
+
+
+def at_nodes(arrived: DataFrame, nodes: int, work: Callable[[list[dict]], Iterable[tuple]]) -> DataFrame:
+    """Runs ``work`` at every node on the state and messages that it has."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_packed(list(work(table.to_pylist())))])
+
+    return _spread(arrived, nodes).applyInArrow(run, ENVELOPE)
+
+
+# random numbers
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -89,12 +130,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def uniform(key: np.ndarray, salt: int) -> np.ndarray:
+def uniform(key: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
     """Numbers in (0, 1) that depend on key and salt alone."""
-    salted = mix(key + np.uint64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1)))
+    salted = mix(key + np.atleast_1d(salt).astype(np.uint64) * ODD)
     return ((salted >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
 
 
+def _uniform_one(key: int, salt: int) -> float:
+    """``uniform`` of single numbers."""
+    x = (key + salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
+    return (((x ^ (x >> 31)) >> 11) + 0.5) / 2**53
+
+
 def lgamma(x: np.ndarray) -> np.ndarray:
     """log Gamma for x > 0: Stirling's series after a shift by eight."""
     shift = x * (x + 1) * (x + 2) * (x + 3) * ((x + 4) * (x + 5) * (x + 6) * (x + 7))
@@ -108,117 +157,164 @@ def lgamma(x: np.ndarray) -> np.ndarray:
 # seating
 
 
-def seat(c: np.ndarray, draw: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]], d: float, key: np.ndarray, salt: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Tables of dishes with c >= 1 customers, and log weights of the seating.
+def stirling_steps(d: float, most: int = SMALL) -> np.ndarray:
+    """log(S(c, k + 1) / S(c, k)) of the generalised Stirling numbers at [c, k]; -inf beyond k = c - 1."""
+    s = np.zeros((most + 1, most + 2))
+    s[1, 1] = 1.0
+    for c in range(1, most):
+        k = np.arange(1, most + 1)
+        s[c + 1, 1 : most + 1] = s[c, 0:most] + np.maximum(c - d * k, 0.0) * s[c, 1 : most + 1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        steps = np.log(s[:, 1:]) - np.log(s[:, :-1])
+    steps[~np.isfinite(steps)] = -np.inf
+    return steps
 
-    ``draw`` and ``others`` are (strength, parent probability) of each dish,
-    strength being theta + d * the restaurant's other tables; the seating is
-    drawn under ``draw``, and weighted under it and each of ``others``.
-    """
+
+def draw_small(c: np.ndarray, strength: np.ndarray, parent: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+    """Tables of dishes of 1 to ``SMALL`` customers, from their conditional; ``u`` are the random numbers."""
     t = np.ones(len(c))
-    weights = [np.zeros(len(c)) for _ in (draw, *others)]
+    steps = stirling_steps(d)
+    order = np.argsort(c, kind="stable")
+    bounds = np.searchsorted(c[order], np.arange(SMALL + 2))
+    for size in range(2, SMALL + 1):
+        own = order[bounds[size] : bounds[size + 1]]
+        k = np.arange(1, size)
+        for a in range(0, len(own), 1 << 15):
+            at = own[a : a + (1 << 15)]
+            logs = np.log(strength[at, None] + d * k) + np.log(parent[at])[:, None] + steps[size, 1:size]
+            logs = np.c_[np.zeros(len(at)), np.cumsum(logs, axis=1)]
+            weight = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+            t[at] = 1 + (weight < u[at, None] * weight[:, -1:]).sum(axis=1)
+    return t
+
+
+def seat(c: np.ndarray, draw: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], d: float, key: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of seatings drawn customer by customer, and their log weights.
+
+    ``draw`` and ``other`` are (strength, parent probability) of each dish,
+    strength being theta + d * the restaurant's other tables; a seating is drawn
+    under ``draw`` and weighted under ``other``.
+    """
+    t, weight = np.ones(len(c)), np.zeros(len(c))
+    single = np.flatnonzero(c > SINGLE)
+    for i in single.tolist():
+        t[i], weight[i] = _seat_one(float(c[i]), float(draw[0][i]), float(draw[1][i]), float(other[0][i]), float(other[1][i]), d, int(key[i]), int(salt[i]))
     seated = np.ones(len(c))
-    act = np.flatnonzero(c > 1)
+    act = np.flatnonzero((c > 1) & (c <= SINGLE))
     turn = 0
     while len(act):
         n, all_ = seated[act], c[act].astype(np.float64)
-        strength, parent = draw[0][act], draw[1][act]
-        number = salt * 1_000_003 + turn
-        many = t[act] >= EXACT_TABLES
-        if many.any():
-            many[many] = _rate(n[many], t[act][many], strength[many], parent[many], d) * np.floor(n[many] / LEAP) >= LEAST_GAIN
-        for part, step in ((~many, _next_table), (many, _leap)):
-            if not part.any():
-                continue
-            at = act[part]
-            end, gain, gone = step(n[part], all_[part], t[at], strength[part], parent[part], d, key[at], number)
-            for w, (s, p) in zip(weights, (draw, *others)):
-                b = (s[at] + gone) * p[at]
-                w[at] += lgamma(b + end - gone) - lgamma(b + n[part] - gone)
-            t[at] += gain
-            seated[at] = end
+        gone = d * t[act]
+        a = (draw[0][act] + gone) * draw[1][act]
+        lead = lgamma(a + n - gone) - lgamma(n - gone)
+        level = np.log(uniform(key[act], salt[act] * 1_000_003 + turn))
+        opens = level > lgamma(all_ - gone) - lgamma(a + all_ - gone) + lead
+        end = all_.copy()
+        if opens.any():
+            end[opens] = _wait(n[opens], all_[opens], a[opens], gone[opens], lead[opens], level[opens]) + 1
+        b = (other[0][act] + gone) * other[1][act]
+        weight[act] += lgamma(b + end - gone) - lgamma(b + n - gone)
+        t[act] += opens
+        seated[act] = end
         act = act[seated[act] < c[act]]
         turn += 1
-    return t, weights
-
-
-#: A dish with so many tables goes on in leaps of an n-th of its customers, where a leap gains so many tables.
-EXACT_TABLES, LEAP, LEAST_GAIN = 64, 16, 4
-
-
-def _rate(n: np.ndarray, t: np.ndarray, strength: np.ndarray, parent: np.ndarray, d: float) -> np.ndarray:
-    """Probability that the customer after n at t tables opens one."""
-    a = (strength + d * t) * parent
-    return a / (a + n - d * t)
-
-
-def _next_table(n, all_, t, strength, parent, d, key, number) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(customers, tables gained, discounted tables): up to the next new table, by its waiting time."""
-    gone = d * t
-    a = (strength + gone) * parent
-    lead = lgamma(a + n - gone) - lgamma(n - gone)
-    level = np.log(uniform(key, number))
-    open_ = level > lgamma(all_ - gone) - lgamma(a + all_ - gone) + lead
-    end = all_.copy()
-    if open_.any():
-        low, high, g, aa, ll, lv = n[open_], all_[open_] - 1, gone[open_], a[open_], lead[open_], level[open_]
-        while True:
-            wide = low < high
-            if not wide.any():
-                break
-            middle = np.floor((low + high) / 2)
-            falls = lgamma(middle + 1 - g) - lgamma(aa + middle + 1 - g) + ll < lv
-            high = np.where(wide & falls, middle, high)
-            low = np.where(wide & ~falls, middle + 1, low)
-        end[open_] = low + 1
-    return end, open_.astype(np.float64), gone
-
-
-def _leap(n, all_, t, strength, parent, d, key, number) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for many customers at once: their new tables are normal about the rate in mid-leap."""
-    m = np.minimum(all_ - n, np.floor(n / LEAP))
-    p = _rate(n + m / 2, t + _rate(n, t, strength, parent, d) * m / 2, strength, parent, d)
-    u, v = uniform(key, number), uniform(~key, number)
-    z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
-    gain = np.clip(np.rint(p * m + np.sqrt(m * p * (1 - p)) * z), 0, m)
-    return n + m, gain, d * (t + gain / 2)
-
-
-def one_table(c: np.ndarray, strength: np.ndarray, parent: np.ndarray, d: float) -> np.ndarray:
-    """Log weight of the seating with a single table."""
-    b = (strength + d) * parent
-    return lgamma(b + c - d) - lgamma(b + 1 - d)
-
-
-def sweep(c: np.ndarray, settings: list[tuple[np.ndarray, np.ndarray]], theta: float, d: float, key: np.ndarray) -> list[np.ndarray]:
-    """Tables after each sweep; ``settings`` has the totals (tables, parent) that each sweep meets."""
-    t = np.ones(len(c))
-    states: list[np.ndarray] = []
-    source = np.full(len(c), -1)  # the sweep that drew the current seating; -1: one table
-    met: list[tuple[np.ndarray, np.ndarray]] = []
-    for s, (total, parent) in enumerate(settings):
-        now = (theta + d * np.maximum(total - t, 0), parent)
-        weight = one_table(c, *now, d)
-        for k in range(s):  # an earlier seating is drawn again and weighed anew
-            own = np.flatnonzero(source == k)
-            if len(own):
-                drawn, here = [(x[0][own], x[1][own]) for x in (met[k], now)]
-                weight[own] = seat(c[own], drawn, [here], d, key[own], k + 1)[1][1]
-        proposed, weights = seat(c, now, [], d, key, s + 1)
-        accepted = np.log(uniform(key, -(s + 1))) < weights[0] - weight
-        accepted |= s == 0  # the first drawn seating is where the chain starts
-        t = np.where(accepted, proposed, t)
-        source[accepted] = s
-        met.append(now)
-        states.append(t)
-    return states
+    return t, weight
+
+
+def _wait(n: np.ndarray, all_: np.ndarray, a: np.ndarray, gone: np.ndarray, lead: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """After how many customers the next opens a table: where the survival falls below its random level."""
+    low, high = n, all_ - 1
+    while True:
+        wide = low < high
+        if not wide.any():
+            return low
+        middle = np.floor((low + high) / 2)
+        falls = lgamma(middle + 1 - gone) - lgamma(a + middle + 1 - gone) + lead < level
+        high = np.where(wide & falls, middle, high)
+        low = np.where(wide & ~falls, middle + 1, low)
+
+
+def _seat_one(c: float, strength: float, parent: float, strength2: float, parent2: float, d: float, key: int, salt: int) -> tuple[float, float]:
+    """``seat`` of one dish of many customers; the wait is bracketed around its power-law estimate."""
+    log_gamma = math.lgamma
+    t, n, weight, turn = 1.0, 1.0, 0.0, 0
+    while n < c:
+        gone = d * t
+        a = (strength + gone) * parent
+        lead = log_gamma(a + n - gone) - log_gamma(n - gone)
+        level = math.log(_uniform_one(key, salt * 1_000_003 + turn))
+        opens = level > log_gamma(c - gone) - log_gamma(a + c - gone) + lead
+        end = c
+        if opens:
+            low, high = n, c - 1
+            guess = min(high, max(low, math.floor((n - gone + a / 2) * math.exp(min(700.0, -level / a)) + gone)))
+            step = 1.0
+            while low < high:
+                if log_gamma(guess + 1 - gone) - log_gamma(a + guess + 1 - gone) + lead < level:
+                    high = guess
+                    guess = max(low, high - step)
+                else:
+                    low = guess + 1
+                    guess = min(high - 1, low + step)
+                step *= 2
+                if not low <= guess < high or step > 64:
+                    guess = math.floor((low + high) / 2)
+            end = low + 1
+        b = (strength2 + gone) * parent2
+        weight += log_gamma(b + end - gone) - log_gamma(b + n - gone)
+        t += opens
+        n = end
+        turn += 1
+    return t, weight
+
+
+class Memory:
+    """How the present seating of each dish of many customers was drawn: settings and sweep, 0 if never."""
+
+    def __init__(self, strength: np.ndarray, parent: np.ndarray, salt: np.ndarray) -> None:
+        self.strength, self.parent, self.salt = strength.copy(), parent.copy(), salt.copy()
+
+    @staticmethod
+    def empty(n: int) -> Memory:
+        return Memory(np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.uint64))
+
+    def parts(self) -> list[bytes]:
+        return [squeeze(self.strength, "<f8"), squeeze(self.parent, "<f8"), squeeze(self.salt)]
+
+    @staticmethod
+    def read(parts: list[bytes]) -> Memory:
+        return Memory(expand(parts[0], "<f8"), expand(parts[1], "<f8"), expand(parts[2]))
+
+
+def reseat(c: np.ndarray, strength: np.ndarray, parent: np.ndarray, d: float, key: np.ndarray, salt: int, memory: Memory) -> np.ndarray:
+    """Tables of every dish after a sweep; ``memory`` is brought up to date."""
+    t = np.minimum(c, 1).astype(np.float64)
+    few = np.flatnonzero((c > 1) & (c <= SMALL))
+    t[few] = draw_small(c[few].astype(np.int64), strength[few], parent[few], d, uniform(key[few], salt))
+    many = np.flatnonzero(c > SMALL)
+    if len(many):
+        now = strength[many], parent[many]
+        salts = np.full(len(many), salt, dtype=np.uint64)
+        proposed, weight = seat(c[many], now, now, d, key[many], salts)
+        known = memory.salt[many] > 0
+        old = many[known]
+        present, before = seat(c[old], (memory.strength[old], memory.parent[old]), (strength[old], parent[old]), d, key[old], memory.salt[old])
+        take = np.ones(len(many), dtype=bool)
+        take[known] = np.log(uniform(~key[old], salt)) < weight[known] - before
+        t[many] = proposed
+        t[old[~take[known]]] = present[~take[known]]
+        new = many[take]
+        memory.strength[new], memory.parent[new], memory.salt[new] = strength[new], parent[new], salt
+    few = c <= SMALL
+    memory.strength[few], memory.parent[few], memory.salt[few] = 0.0, 0.0, 0
+    return t
 
 
 # chunks
 
 
 def chunks(documents: DataFrame, held: Column, key: str, text: str, most: int) -> DataFrame:
-    """Documents as CHUNK rows of about ``most`` tokens."""
+    """Documents as nodes of about ``most`` tokens: ids, missing ids, held, lengths, tokens, hashes; [tokens, the end's number]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -236,10 +332,15 @@ def chunks(documents: DataFrame, held: Column, key: str, text: str, most: int) -
             rank = np.empty(len(order), dtype=np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             tokens = rank[np.concatenate([r[2] for r in rows])]
-            values = [(part << 24) + number, len(tokens), [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], int(rank[voc[b""]])]
-            values += [squeeze(tokens), squeeze_sorted(hashes[order])]
-            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=[f.split()[0] for f in CHUNK.split(", ")])
+            parts = [
+                squeeze(np.array([r[0] or 0 for r in rows], dtype=np.int64), "<i8"),
+                squeeze(np.array([r[0] is None for r in rows]), "u1"),
+                squeeze(np.array([r[1] for r in rows]), "u1"),
+                squeeze(np.array([len(r[2]) for r in rows])),
+                squeeze(tokens, "<u4"),
+                squeeze_sorted(hashes[order]),
+            ]
+            return _packed([("chunk", (part << 24) + number, -1, parts, [float(len(tokens)), float(rank[voc[b""]])])])
 
         for batch in batches:
             for id_, out, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -255,264 +356,332 @@ def chunks(documents: DataFrame, held: Column, key: str, text: str, most: int) -
         if rows:
             yield flush()
 
-    return documents.select(F.col(key).cast("long"), held, F.col(text)).mapInArrow(run, CHUNK)
+    return documents.select(F.col(key).cast("long"), F.coalesce(held, F.lit(False)), F.col(text)).mapInArrow(run, ENVELOPE)
 
 
-def pairs_of(tokens: np.ndarray, last: int, n_words: int, held: list[bool], lens: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (word before, word) of a chunk as sorted numbers, and their training counts."""
-    before = np.r_[np.int64(last), tokens[:-1].astype(np.int64)]
-    code = (before * n_words + tokens) << 1
-    code |= np.repeat(np.array(held, dtype=np.int64), lens)
-    found, counts = np.unique(code, return_counts=True)
-    number = found >> 1
-    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-    return number[first], np.add.reduceat(np.where(found & 1, 0, counts), first)
+class Chunk:
+    """A chunk's tokens and their distinct pairs, sorted."""
+
+    def __init__(self, row: dict) -> None:
+        self.parts, self.last = row["parts"], int(row["stats"][1])
+        self.held, self.lens = expand(self.parts[2], "u1"), expand(self.parts[3]).astype(np.int64)
+        self.tokens, self.words = expand(self.parts[4], "<u4").astype(np.int64), expand_sorted(self.parts[5])
+        self.code = np.r_[np.int64(self.last), self.tokens[:-1]] * len(self.words) + self.tokens
 
+    def train_counts(self) -> np.ndarray:
+        train = np.repeat(self.held == 0, self.lens)
+        return np.bincount(self.tokens[train], minlength=len(self.words))
 
-def pair_hash(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    u, w = np.divmod(pairs, len(words))
-    return mix(words[u] * np.uint64(0x9E3779B97F4A7C15) + (words[w] ^ (words[w] >> np.uint64(29)))) >> np.uint64(8)
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code, training count) of each distinct pair, and the pair of every token."""
+        found, where = np.unique(self.code, return_inverse=True)
+        train = np.repeat(self.held == 0, self.lens)
+        return found, np.bincount(where[train], minlength=len(found)), where
 
 
-def bounds_of(hashes: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Where each bucket's range of the sorted hashes begins and ends."""
-    cuts = [(b << bits) // buckets for b in range(1, buckets)]
-    return np.r_[0, np.searchsorted(hashes, np.array(cuts, dtype=np.uint64)), len(hashes)]
+def dealt(u: np.ndarray, w: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in the order of their pair nodes, and where each node's begin."""
+    node = (mix(u * ODD + mix(w)) % np.uint64(nodes)).astype(np.int32)
+    order = np.argsort(node, kind="stable")
+    return order, np.searchsorted(node[order], np.arange(nodes + 1))
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<int>": pa.list_(pa.int32())}
-    fields = [f.split() for f in schema.split(", ")]
-    columns = list(zip(*rows)) or [[] for _ in fields]
-    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+def _by_word_node(ids: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The word nodes of sorted ids, and their ranges."""
+    node = (ids >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.empty(0, dtype=np.int64)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(node)]):
+        yield int(node[a]), slice(a, b)
 
 
-def messages(buckets: int):
+def send_words(nodes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = np.array([(b << 64) // nodes for b in range(1, nodes)], dtype=np.uint64)
         for batch in batches:
             for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                words, tokens = expand_sorted(r["words"], "<u8"), expand(r["tokens"], "<u4")
-                train = np.repeat(~np.array(r["held"], dtype=bool), r["lens"])
-                counts = np.bincount(tokens[train], minlength=len(words)).astype(np.uint32)
-                pairs, pair_counts = pairs_of(tokens, r["last"], len(words), r["held"], r["lens"])
-                hashes = pair_hash(words, pairs)
-                order = np.argsort(hashes)
-                hashes, pair_counts = hashes[order], pair_counts[order].astype(np.uint32)
-                wb, pb = bounds_of(words, 64, buckets), bounds_of(hashes, 56, buckets)
-                yield _batch(
+                row = batch.slice(k, 1).to_pylist()[0]
+                chunk = Chunk(row)
+                counts = chunk.train_counts()
+                ends = np.r_[0, np.searchsorted(chunk.words, cuts), len(chunk.words)].tolist()
+                yield _packed(
                     [
-                        (b, r["chunk"], squeeze_sorted(words[i:j]), squeeze(counts[i:j]), squeeze_sorted(hashes[p:q]), squeeze(pair_counts[p:q]))
-                        for b, (i, j, p, q) in enumerate(zip(wb[:-1], wb[1:], pb[:-1], pb[1:]))
-                    ],
-                    MESSAGE,
+                        ("words", b, row["node"], [squeeze_sorted(chunk.words[i:j]), squeeze(counts[i:j])], None)
+                        for b, (i, j) in enumerate(zip(ends, ends[1:]))
+                        if j > i
+                    ]
                 )
 
     return run
 
 
-def _total(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the keys among the distinct ones, and the total count of each distinct one."""
-    _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return place.astype(np.uint32), np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
-
-
-def count_bucket(table: pa.Table) -> pa.Table:
-    """Answers each chunk with the corpus totals of the words and pairs it sent."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-    keys, counts = [expand_sorted(r["words"], "<u8") for r in rows], [expand(r["word_counts"], "<u4") for r in rows]
-    place, totals = _total(keys, counts)
-    pkeys, pcounts = [expand_sorted(r["pairs"], "<u8") for r in rows], [expand(r["pair_counts"], "<u4") for r in rows]
-    pplace, ptotals = _total(pkeys, pcounts)
-    flat = np.concatenate(pcounts) > 0
-    owner = np.zeros(len(pplace), dtype=np.uint8)
-    trained = np.flatnonzero(flat)
-    _, first = np.unique(pplace[trained], return_index=True)
-    owner[trained[first]] = 1
-    out, i, p = [], 0, 0
-    bucket = rows[0]["bucket"]
-    for r, k, q in zip(rows, map(len, keys), map(len, pkeys)):
-        own = place[i : i + k], pplace[p : p + q]
-        out.append((r["chunk"], bucket, squeeze(own[0]), squeeze(totals[own[0]].astype(np.uint64)), squeeze(ptotals[own[1]].astype(np.uint32)), squeeze(owner[p : p + q]), None))
-        i, p = i + k, p + q
-    stats = [float(totals.sum()), float((totals > 0).sum()), float((ptotals == 1).sum()), float((ptotals == 2).sum())]
-    out.append((-1, bucket, b"", b"", b"", b"", stats))
-    return pa.Table.from_batches([_batch(out, REPLY)])
-
-
-def join_counts(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk with the totals of its words and pairs."""
-    if not left.num_rows:
-        return pa.Table.from_batches([_batch([], STATE)])
-    r = left.to_pylist()[0]
-    replies = sorted(right.to_pylist(), key=lambda x: x["bucket"])
-    words, tokens = expand_sorted(r["words"], "<u8"), expand(r["tokens"], "<u4")
-    pairs, _ = pairs_of(tokens, r["last"], len(words), r["held"], r["lens"])
-    order = np.argsort(pair_hash(words, pairs))
-    both = [np.concatenate([expand(x[c], t) for x in replies]) for c, t in (("place", "<u4"), ("word_counts", "<u8"), ("pair_counts", "<u4"), ("owner", "u1"))]
-    for k in (2, 3):  # from hash order to the order of the pairs
-        back = np.empty_like(both[k])
-        back[order] = both[k]
-        both[k] = back
-    sizes = np.array([len(expand(x["place"], "<u4")) for x in replies], dtype=np.uint32)
-    row = (r["chunk"], r["docs"], r["held"], r["lens"], r["last"], r["tokens"], *map(squeeze, both), squeeze(sizes))
-    return pa.Table.from_batches([_batch([row], STATE)])
+def name_words(rows: list[dict]) -> Iterator[tuple]:
+    """A word node gives its words their places and answers every chunk with places and totals."""
+    sent = _of(rows, "words")
+    hashes = [expand_sorted(r["parts"][0]) for r in sent]
+    _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    totals = np.bincount(place, weights=_joined(sent, 1)).astype(np.uint64)
+    node, a = sent[0]["node"], 0
+    for r, own in zip(sent, hashes):
+        at = place[a : a + len(own)]
+        yield "named", r["origin"], node, [squeeze_sorted(at), squeeze(totals[at])], None
+        a += len(own)
+    yield "word", node, -1, [squeeze(totals)], [float(totals.sum()), float((totals > 0).sum())]
+
+
+def name_chunk(nodes: int) -> Callable:
+    """A chunk learns its words' ids and totals and sends its pairs to their nodes."""
+
+    def work(rows: list[dict]) -> Iterator[tuple]:
+        row, replies = _of(rows, "chunk")[0], _of(rows, "named")
+        chunk = Chunk(row)
+        ids = np.concatenate([expand_sorted(r["parts"][0]) + (np.uint64(r["origin"]) << np.uint64(32)) for r in replies])
+        yield "chunk", row["node"], -1, [*row["parts"][:5], squeeze_sorted(ids), squeeze(_joined(replies, 1))], row["stats"]
+        found, counts, _ = chunk.pairs()
+        u, w = (ids[x] for x in np.divmod(found, len(ids)))
+        order, ends = dealt(u, w, nodes)
+        for b in range(nodes):
+            own = order[ends[b] : ends[b + 1]]
+            if len(own):
+                yield "pairs", b, row["node"], [squeeze_sorted(u[own]), squeeze(w[own]), squeeze(counts[own])], None
+
+    return work
+
+
+# pair nodes
+
+
+def gather_pairs(rows: list[dict]) -> Iterator[tuple]:
+    """A pair node adds up its pairs, tells words their first tables, and asks for what its dishes will need."""
+    sent = _of(rows, "pairs")
+    node = sent[0]["node"]
+    u, w = _joined(sent, 0, expand_sorted), _joined(sent, 1)
+    lens = [len(expand(r["parts"][1])) for r in sent]
+    u_ids, u = np.unique(u, return_inverse=True)
+    w_ids, w = np.unique(w, return_inverse=True)
+    distinct, place = np.unique(u * len(w_ids) + w, return_inverse=True)
+    counts = np.bincount(place, weights=_joined(sent, 2)).astype(np.uint64)
+    a = 0
+    for r, n in zip(sent, lens):
+        yield "place", node, r["origin"], [squeeze_sorted(place[a : a + n])], None
+        a += n
+    yield "counts", node, -1, [squeeze(counts)], [float((counts == 1).sum()), float((counts == 2).sum())]
+    u, w = np.divmod(distinct, len(w_ids))
+    trained, active = counts > 0, counts > 1
+    tables = np.bincount(u[trained], minlength=len(u_ids))
+    customers = np.bincount(w[trained], minlength=len(w_ids))
+    asks_u, asks_w = np.zeros(len(u_ids), dtype=bool), np.zeros(len(w_ids), dtype=bool)
+    asks_u[u[active]], asks_w[w[active]] = True, True
+    parts = {b: [squeeze(np.empty(0))] * 6 for b, _ in [*_by_word_node(u_ids), *_by_word_node(w_ids)]}
+    for first, ids, values, asks in ((0, u_ids, tables, asks_u), (2, w_ids, customers, asks_w)):
+        for b, own in _by_word_node(ids):
+            places, some = ids[own] & PLACE, values[own] > 0
+            told = [squeeze_sorted(places[some]), squeeze(values[own][some])]
+            parts[b] = [*parts[b][:first], *told, *parts[b][first + 2 :]]
+            parts[b][4 + first // 2] = squeeze_sorted(places[asks[own]])
+    for b, told in parts.items():
+        yield "first", b, node, told, None
+    u, w, c = np.searchsorted(np.flatnonzero(asks_u), u[active]), np.searchsorted(np.flatnonzero(asks_w), w[active]), counts[active]
+    state = [squeeze_sorted(u_ids[asks_u]), squeeze_sorted(w_ids[asks_w]), squeeze(u, "<u4"), squeeze(w, "<u4"), squeeze(c), squeeze(np.minimum(c, 1)), squeeze(c * 0)]
+    yield "dish", node, -1, [*state, *Memory.empty(len(c)).parts()], None
+
+
+def parent_probability(customers: np.ndarray, seats: np.ndarray, root: tuple[float, float], model: dict) -> np.ndarray:
+    """Probability of words in the parent; ``root`` is all its (tables, customers)."""
+    theta, d = model["theta"], model["parent_discount"]
+    return (customers - d * seats + (theta + d * root[0]) / (model["vocabulary"] + 1)) / (theta + root[1])
+
+
+def seat_pairs(model: dict, root: tuple[float, float], sweep: int, keep: bool) -> Callable:
+    """A pair node reseats its dishes and sends what they have beyond one table each."""
+
+    def work(rows: list[dict]) -> Iterator[tuple]:
+        state, totals = _of(rows, "dish")[0], _of(rows, "totals")
+        parts = state["parts"]
+        u_ids, w_ids = expand_sorted(parts[0]), expand_sorted(parts[1])
+        u, w = expand(parts[2], "<u4"), expand(parts[3], "<u4")
+        c, t, kept = (expand(p).astype(np.float64) for p in parts[4:7])
+        memory = Memory.read(parts[7:10])
+        tables, customers, seats = (_joined(totals, k).astype(np.float64) for k in range(3))
+        theta, d = model["theta"], model["discount"]
+        strength = theta + d * np.maximum(tables[u] - t, 0)
+        parent = parent_probability(customers, seats, root, model)[w]
+        key = mix(u_ids[u] * ODD + mix(w_ids[w]))
+        t = reseat(c, strength, parent, d, key, sweep, memory)
+        yield "dish", state["node"], -1, [*parts[:5], squeeze(t), squeeze(kept + t * keep), *memory.parts()], None
+        more: dict[int, list[bytes]] = defaultdict(lambda: [squeeze(np.empty(0))] * 4)
+        for first, ids, at in ((0, u_ids, u), (2, w_ids, w)):
+            beyond = np.bincount(at, weights=t - 1, minlength=len(ids))
+            some = np.flatnonzero(beyond)
+            for b, own in _by_word_node(ids[some]):
+                told = [squeeze_sorted(ids[some][own] & PLACE), squeeze(beyond[some][own])]
+                more[b] = [*more[b][:first], *told, *more[b][first + 2 :]]
+        for b, told in more.items():
+            yield "more", b, state["node"], told, None
+
+    return work
+
+
+def answer_chunks(samples: int) -> Callable:
+    """A pair node tells every chunk the counts, and tables added up over the samples, of the pairs it sent."""
+
+    def work(rows: list[dict]) -> Iterator[tuple]:
+        counts = expand(_of(rows, "counts")[0]["parts"][0])
+        tables = np.minimum(counts, 1) * np.uint64(samples)
+        tables[counts > 1] = expand(_of(rows, "dish")[0]["parts"][6])
+        for r in _of(rows, "place"):
+            at = expand_sorted(r["parts"][0]).astype(np.int64)
+            yield "seen", r["origin"], r["node"], [squeeze(counts[at]), squeeze(tables[at])], None
+
+    return work
+
+
+# word nodes
+
+
+def _added(total: np.ndarray, rows: list[dict], places: int, values: int) -> np.ndarray:
+    at, more = _joined(rows, places, expand_sorted).astype(np.int64), _joined(rows, values)
+    return total + np.bincount(at, weights=more, minlength=len(total))
+
+
+def _told(asks: list[dict], tables: np.ndarray, customers: np.ndarray, seats: np.ndarray) -> Iterator[tuple]:
+    for r in asks:
+        u, w = (expand_sorted(p).astype(np.int64) for p in r["parts"])
+        yield "totals", r["origin"], r["node"], [squeeze(tables[u]), squeeze(customers[w]), squeeze(seats[w])], None
+
+
+def first_totals(rows: list[dict]) -> Iterator[tuple]:
+    """A word node adds up its words' first tables, as contexts and as dishes of the parent, and answers."""
+    word, sent = _of(rows, "word")[0], _of(rows, "first")
+    node = word["node"]
+    none = np.zeros(len(expand(word["parts"][0])))
+    tables, customers = _added(none, sent, 0, 1), _added(none, sent, 2, 3)
+    seats = np.minimum(customers, 1)
+    asks = [{"node": node, "origin": r["origin"], "parts": r["parts"][4:6]} for r in sent]
+    stats = [float(seats.sum()), float(customers.sum()), float((customers == 1).sum()), float((customers == 2).sum())]
+    yield "word", node, -1, [squeeze(tables), squeeze(customers), squeeze(seats), *Memory.empty(len(none)).parts()], stats
+    for r in asks:
+        yield "ask", node, r["origin"], r["parts"], None
+    yield from _told(asks, tables, customers, seats)
+
+
+def seat_words(model: dict, root: tuple[float, float], sweep: int, keep: bool) -> Callable:
+    """A word node adds up its words' tables, reseats them in the parent and answers; samples are kept."""
+
+    def work(rows: list[dict]) -> Iterator[tuple]:
+        state, asks, sent = _of(rows, "word")[0], _of(rows, "ask"), _of(rows, "more")
+        parts, node = state["parts"], state["node"]
+        first_tables, first_customers, seats = (expand(p).astype(np.float64) for p in parts[:3])
+        memory = Memory.read(parts[3:6])
+        tables, customers = _added(first_tables, sent, 0, 1), _added(first_customers, sent, 2, 3)
+        theta, d = model["theta"], model["parent_discount"]
+        key = mix((np.uint64(node) << np.uint64(32)) + np.arange(len(seats), dtype=np.uint64))
+        strength = theta + d * np.maximum(root[0] - seats, 0)
+        seats = reseat(customers, strength, np.full(len(seats), 1 / (model["vocabulary"] + 1)), d, key, sweep, memory)
+        sample = [squeeze(tables), squeeze(customers), squeeze(seats)] if keep else []
+        yield "word", node, -1, [*parts[:2], squeeze(seats), *memory.parts(), *parts[6:], *sample], [float(seats.sum()), float(customers.sum())]
+        yield from _told(asks, tables, customers, seats)
+
+    return work
 
 
-class Chunk:
-    """A chunk's arrays, and what the sweeps so far have told it."""
-
-    def __init__(self, r: dict, totals: list[dict], model: dict) -> None:
-        self.row, self.model = r, model
-        self.tokens, self.place, self.words = expand(r["tokens"], "<u4"), expand(r["place"], "<u4"), expand(r["word_counts"], "<u8").astype(np.float64)
-        self.counts, self.owner, self.sizes = expand(r["pair_counts"], "<u4"), expand(r["owner"], "u1") > 0, expand(r["sizes"], "<u4")
-        self.pairs, _ = pairs_of(self.tokens, r["last"], len(self.words), r["held"], r["lens"])
-        self.before, self.word = np.divmod(self.pairs, len(self.words))
-        bucket = np.repeat(np.arange(len(self.sizes), dtype=np.uint64), self.sizes)
-        self.name = mix((bucket << np.uint64(32)) + self.place + np.uint64(1))
-        self.settings = []
-        for s in range(len(model["roots"])):
-            own = sorted((x for x in totals if x["sweep"] == s), key=lambda x: x["bucket"])
-            tables = np.concatenate([expand(x["tables"], "<u8") for x in own]).astype(np.float64)
-            customers = np.concatenate([expand(x["customers"], "<f8") for x in own])
-            all_tables, all_customers, d0 = model["roots"][s]
-            theta, uniform_share = model["theta"], 1 / (model["vocabulary"] + 1)
-            self.settings.append((tables, (customers + (theta + d0 * all_tables) * uniform_share) / (theta + all_customers)))
-
-    def states(self, where: np.ndarray, sweeps: int) -> list[np.ndarray]:
-        """Tables of the pairs at ``where`` after one to ``sweeps`` sweeps."""
-        c = self.counts[where].astype(np.float64)
-        u, w = self.before[where], self.word[where]
-        key = mix(self.name[u] * np.uint64(0x9E3779B97F4A7C15) + self.name[w])
-        out = [(c > 0).astype(np.float64) for _ in range(sweeps)]
-        many = np.flatnonzero(c > 1)
-        for a in range(0, len(many), 1 << 18):
-            part = many[a : a + (1 << 18)]
-            met = [(tables[u[part]], parent[w[part]]) for tables, parent in self.settings[:sweeps]]
-            for state, t in zip(out, sweep(c[part], met, self.model["theta"], self.model["discount"], key[part])):
-                state[part] = t
-        return out
-
-    def tables_sent(self) -> list[tuple]:
-        """The tables that this chunk answers for, by restaurant and by dish, a row for each bucket."""
-        own = np.flatnonzero(self.owner)
-        sweeps = len(self.settings)
-        t = self.states(own, sweeps)[-1] if sweeps else np.ones(len(own))
-        tables = np.bincount(self.before[own], weights=t, minlength=len(self.words)).astype(np.uint64)
-        customers = np.bincount(self.word[own], weights=t, minlength=len(self.words)).astype(np.uint64)
-        ends = np.cumsum(self.sizes, dtype=np.int64)
-        cut = lambda a: [squeeze(a[j - n : j]) for n, j in zip(self.sizes.astype(np.int64).tolist(), ends.tolist())]
-        return [(b, self.row["chunk"], *x) for b, x in enumerate(zip(cut(self.place), cut(tables), cut(customers)))]
-
-    def scores(self) -> tuple[np.ndarray, ...]:
-        """(tokens, known tokens, base score, score) of each document."""
-        m = self.model
-        theta, d, samples = m["theta"], m["discount"], len(self.settings) - 1
-        probability = np.zeros(len(self.pairs))
-        counts = self.counts.astype(np.float64)
-        held = self.words[self.before]
-        for t, (tables, parent) in zip(self.states(np.arange(len(self.pairs)), samples), self.settings[1:]):
-            probability += (counts - d * t + (theta + d * tables[self.before]) * parent[self.word]) / (theta + held)
-        logs = np.log10(probability / samples)
-        code = np.r_[np.int64(self.row["last"]), self.tokens[:-1].astype(np.int64)] * len(self.words) + self.tokens
-        known = self.words[self.tokens]
-        base = np.log10((known + 1) / (m["tokens"] + m["vocabulary"] + 1))
-        lens = np.array(self.row["lens"])
-        start = np.cumsum(lens) - lens
-        at = np.searchsorted(self.pairs, code)
-        return lens, np.add.reduceat((known > 0).astype(np.int64), start), np.add.reduceat(base, start), np.add.reduceat(logs[at], start)
-
-
-def total_bucket(number: int, roots: list, theta: float, vocabulary: float):
-    """Adds up the tables of a bucket's words, seats them in the parent and answers the chunks."""
+def send_samples(rows: list[dict]) -> Iterator[tuple]:
+    """A word node sends every chunk the sampled totals of its words."""
+    word = _of(rows, "word")[0]
+    samples = [expand(p) for p in word["parts"][6:]]
+    for r in _of(rows, "named"):
+        at = expand_sorted(r["parts"][0]).astype(np.int64)
+        yield "samples", r["origin"], word["node"], [squeeze(s[at]) for s in samples], None
+
+
+# the whole
+
+
+def _scores(model: dict, roots: list[tuple[float, float]], nodes: int) -> Callable:
+    """Scores of a chunk's documents, from its pairs' and words' sampled totals."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        places = [expand(r["place"], "<u4") for r in rows]
-        place = np.concatenate(places)
-        add = lambda c: np.bincount(place, weights=np.concatenate([expand(r[c], "<u8") for r in rows]).astype(np.float64))
-        tables, customers = add("tables"), add("customers")
-        bucket = rows[0]["bucket"]
-        seats = (customers > 0).astype(np.float64)
-        once, twice = float((customers == 1).sum()), float((customers == 2).sum())
-        if roots:
-            all_tables, _, d0 = roots[-1]
-            some = np.flatnonzero(customers > 1)
-            key = mix((np.uint64(bucket) << np.uint64(32)) + some.astype(np.uint64) + np.uint64(number << 56))
-            met = (np.full(len(some), all_tables), np.full(len(some), 1 / (vocabulary + 1)))
-            seats[some] = sweep(customers[some], [met], theta, d0, key)[-1]
-        d0 = roots[-1][2] if roots else 0.0
-        out = []
-        for r, own in zip(rows, places):
-            out.append((r["chunk"], bucket, number, squeeze(tables[own].astype(np.uint64)), squeeze(customers[own]), squeeze(seats[own]), None))
-        out.append((-1, bucket, number, b"", b"", b"", [float(seats.sum()), float(customers.sum()), once, twice]))
-        return pa.Table.from_batches([_batch(out, TOTALS_RAW)])
+        rows = table.to_pylist()
+        row, seen, told = _of(rows, "chunk")[0], _of(rows, "seen"), _of(rows, "samples")
+        chunk = Chunk(row)
+        ids, words = expand_sorted(row["parts"][5]), expand(row["parts"][6]).astype(np.float64)
+        found, _, where = chunk.pairs()
+        u, w = np.divmod(found, len(ids))
+        order, _ = dealt(ids[u], ids[w], nodes)
+        counts, tables = np.empty(len(found)), np.empty(len(found))
+        counts[order], tables[order] = _joined(seen, 0), _joined(seen, 1)
+        theta, d = model["theta"], model["discount"]
+        probability = counts * len(roots) - d * tables
+        for k, root in enumerate(roots):
+            all_tables, customers, seats = (_joined(told, 3 * k + j).astype(np.float64) for j in range(3))
+            probability += (theta + d * all_tables[u]) * parent_probability(customers, seats, root, model)[w]
+        logs = np.log10(probability / (len(roots) * (theta + words[u])))[where]
+        known = words[chunk.tokens]
+        base = np.log10((known + 1) / (model["tokens"] + model["vocabulary"] + 1))
+        start = np.cumsum(chunk.lens) - chunk.lens
+        add = lambda values: pa.array(np.add.reduceat(values, start))
+        docs = pa.array(expand(chunk.parts[0], "<i8"), mask=expand(chunk.parts[1], "u1") > 0)
+        columns = [docs, pa.array(chunk.held > 0), pa.array(chunk.lens), add((known > 0).astype(np.int64)), add(base), add(logs)]
+        return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-TOTALS_RAW = TOTALS.replace("customers binary", "customers binary, seats binary")
-
-
-def score(
-    spark: SparkSession, documents: DataFrame, held: Column, sweeps: int = 2, theta: float = 1.0, key: str = "doc_id", text: str = "text", chunk_tokens: int = 2_000_000, bucket_tokens: int = 2_000_000
-) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns where ``held`` is false."""
-    scratch = Scratch(spark, "lm")
-    cut = scratch.save(chunks(documents, held, key, text, chunk_tokens), "chunks")
-    tokens = cut.agg(F.sum("n_tokens")).first()[0] or 0
-    buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // bucket_tokens), 1))
-
-    replies = scratch.save(cut.mapInArrow(messages(buckets), MESSAGE).groupBy("bucket").applyInArrow(count_bucket, REPLY), "counts")
-    n, v, once, twice = replies.filter("chunk = -1").agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0.0)) for k in range(4)]).first()
-    states = scratch.save(cut.groupBy("chunk").cogroup(replies.filter("chunk >= 0").groupBy("chunk")).applyInArrow(join_counts, STATE), "states")
-    scratch.drop(cut)
-    scratch.drop(replies)
-    model = {"tokens": n, "vocabulary": v, "theta": theta, "discount": discount(once, twice), "roots": []}
-
-    met: DataFrame | None = None
-    for number in range(sweeps + 1):
-        sent = _with_totals(states, met, dict(model), lambda chunk: _batch(chunk.tables_sent(), TABLES), TABLES)
-        back = scratch.save(sent.groupBy("bucket").applyInArrow(total_bucket(number, list(model["roots"]), theta, v), TOTALS_RAW), "totals")
-        all_tables, all_customers, once, twice = back.filter("chunk = -1").agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0.0)) for k in range(4)]).first()
-        d0 = model["roots"][0][2] if model["roots"] else discount(once, twice)
-        model["roots"] = [*model["roots"], (all_tables, all_customers, d0)]
-        own = back.filter("chunk >= 0").withColumn("root_discount", F.lit(d0))
-        met = own if met is None else met.union(own)
-
-    def finish(chunk: Chunk) -> pa.RecordBatch:
-        r = chunk.row
-        lens, known, base, scores = chunk.scores()
-        columns = [pa.array(r["docs"], pa.int64()), pa.array(r["held"], pa.bool_()), *map(pa.array, (lens.astype(np.int64), known, base, scores))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    return _with_totals(states, met, dict(model), finish, schema).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score"
-    )
-
-
 def discount(once: float, twice: float) -> float:
     """The usual estimate from what is seen once and twice, kept inside (0, 1)."""
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
 
 
-def _with_totals(states: DataFrame, met: DataFrame | None, model: dict, make, schema: str) -> DataFrame:
-    """``make`` of each chunk with all totals it has been sent."""
-    if met is None:
-
-        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    yield make(Chunk(batch.slice(k, 1).to_pylist()[0], [], model))
-
-        return states.mapInArrow(alone, schema)
+def _sums(rows: DataFrame, n: int) -> list[float]:
+    return list(rows.agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0.0)) for k in range(n)]).first())
 
-    def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        totals = []
-        for x in right.to_pylist():
-            x["customers"] = squeeze(expand(x["customers"], "<f8") - x["root_discount"] * expand(x["seats"], "<f8"))
-            totals.append(x)
-        return pa.Table.from_batches([make(Chunk(left.to_pylist()[0], totals, model))])
 
-    return states.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(both, schema)
+def score(
+    spark: SparkSession,
+    documents: DataFrame,
+    held: Column,
+    burn_in: int = 1,
+    samples: int = 3,
+    theta: float = 1.0,
+    key: str = "doc_id",
+    text: str = "text",
+    chunk_tokens: int = 2_000_000,
+    node_tokens: int = 2_000_000,
+) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns where ``held`` is false."""
+    scratch = Scratch(spark, "lm")
+    kind = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds))
+    save = lambda df, name: scratch.save(df, name, ["kind"])
+    cut = save(chunks(documents, held, key, text, chunk_tokens), "chunks")
+    tokens = _sums(cut, 1)[0]
+    nodes = int(max(1, -(-tokens // node_tokens), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // 100_000))))
+
+    named = save(at_nodes(cut.mapInArrow(send_words(nodes), ENVELOPE), nodes, name_words), "words")
+    model = {"theta": theta} | dict(zip(("tokens", "vocabulary"), _sums(kind(named, "word"), 2)))
+    told = save(at_nodes(cut.union(kind(named, "named")), nodes, name_chunk(nodes)), "named")
+    scratch.drop(cut)
+    pairs = save(at_nodes(kind(told, "pairs"), nodes, gather_pairs), "pairs")
+    scratch.drop(told, "kind=pairs")
+    model["discount"] = discount(*_sums(kind(pairs, "counts"), 2))
+    words = save(at_nodes(kind(named, "word").union(kind(pairs, "first")), nodes, first_totals), "words")
+    *root, once, twice = _sums(kind(words, "word"), 4)
+    model["parent_discount"] = discount(once, twice)
+    asks, dishes = kind(words, "ask"), kind(pairs, "dish")
+
+    roots = []
+    for sweep in range(1, burn_in + samples + 1):
+        keep = sweep > burn_in
+        seated = save(at_nodes(dishes.union(kind(words, "totals")), nodes, seat_pairs(dict(model), tuple(root), sweep, keep)), "dishes")
+        after = save(at_nodes(kind(words, "word").union(asks).union(kind(seated, "more")), nodes, seat_words(dict(model), tuple(root), sweep, keep)), "words")
+        root = _sums(kind(after, "word"), 2)
+        roots += [tuple(root)] * keep
+        scratch.drop(dishes, "kind=dish")
+        scratch.drop(seated, "kind=more")
+        scratch.drop(words, "kind=word", "kind=totals")
+        dishes, words = kind(seated, "dish"), after
+
+    seen = at_nodes(dishes.union(kind(pairs, "place", "counts")), nodes, answer_chunks(samples))
+    asked = kind(named, "named").select("kind", F.col("origin").alias("node"), F.col("node").alias("origin"), "parts", "stats")
+    told_words = at_nodes(kind(words, "word").union(asked), nodes, send_samples)
+    last = kind(told, "chunk").union(seen).union(told_words)
+    scored = _spread(last, nodes).applyInArrow(_scores(dict(model), roots, nodes), SCORES)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model["tokens"])).cast("long").alias("train_tokens"), "base_score", "score")
