@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 NO_EXTENSION = "(no extension)"
+# Fixed values.
+PICTURES = [".jpg", ".jpeg", ".png", ".bmp", ".gif", ".webp", ".tiff", ".tif", ".heic"]
 
 
 def suffix(name: Column) -> Column:
@@ -31,6 +33,33 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)([^/]*)$", 1)
 
 
+def is_image(ext: Column) -> Column:
+    return F.coalesce(ext.isin(PICTURES), F.lit(False))
+
+
+def relative(path: Column, root: Column) -> Column:
+    """The path below ``root``; null for a path outside it."""
+    return F.when(path.startswith(F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.length(path)))
+
+
+def cache_key(path: Column, mtime: Column, size: Column) -> Column:
+    return F.concat_ws("|", path, F.format_string("%.6f", mtime), size.cast("string"))
+
+
+def positive_number(text: Column) -> Column:
+    """The number that a text states, null where it states none or a negative one."""
+    value = F.trim(text).try_cast("double")
+    return F.when((value >= 0) & (value < float("inf")), value)
+
+
+def index_list(text: Column, n: Column) -> Column:
+    """``1,3,4`` as an ascending array of indices up to ``n``; 0 stands for all, anything else is passed over."""
+    numbers = F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("int"))
+    every = F.filter(F.sequence(F.lit(0), n.cast("int")), lambda x: x > 0)
+    chosen = F.array_sort(F.array_distinct(F.filter(numbers, lambda x: x.between(1, n))))
+    return F.when(F.coalesce(F.exists(numbers, lambda x: F.coalesce(x == 0, F.lit(False))), F.lit(False)), every).otherwise(chosen)
+
+
 def size_mb(size: Column) -> Column:
     return size / F.lit(1048576.0)
 
@@ -69,7 +98,7 @@ def glob_regex(pattern: str) -> str:
             i = end + 1
         else:
             out.append(char if char.isalnum() or char == "_" else "\\" + char)
-    return "(?s)^" + "".join(out) + "$"
+    return r"(?s)\A" + "".join(out) + r"\z"
 
 
 def is_excluded(name: Column, patterns: list[str]) -> Column:

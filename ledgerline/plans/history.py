@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerline.functions import names
 from ledgerline.sources.catalog import TRASH
+from ledgerline.sources.scratch import Scratch
 
 
 def runs(ledger: DataFrame) -> DataFrame:
@@ -72,21 +74,72 @@ def restore_plan(items: DataFrame, ledger: DataFrame, occupied: DataFrame) -> Da
     return known.join(taken, "origin", "left").select("path", "origin", outcome.alias("outcome"))
 
 
-def chains(ledger: DataFrame) -> DataFrame:
+def restore_selected(items: DataFrame, selected: DataFrame, ledger: DataFrame, occupied: DataFrame) -> DataFrame:
+    """``restore_plan`` of the items whose path is selected; selected paths that are not in the trash give nothing."""
+    return restore_plan(items.join(selected.select("path").distinct(), "path", "left_semi"), ledger, occupied)
+
+
+def ordered_trash(items: DataFrame) -> DataFrame:
+    """``trash_items`` with batch_position, newest batch first, and position by name within the batch.
+
+    Batches are ordered by the time in their name, batches without one last.
+    """
+    when = F.try_to_timestamp(F.regexp_extract("batch", r"(\d{8})", 1), F.lit("yyyyMMdd"))
+    batches = items.select("batch").distinct().withColumn("batch_position", F.row_number().over(Window.orderBy(when.desc_nulls_last(), F.desc("batch"))))
+    inside = F.row_number().over(Window.partitionBy("batch").orderBy("name", "path"))
+    return items.withColumn("position", inside).join(batches, "batch")
+
+
+def undo_details(ledger: DataFrame, most: int = 100) -> DataFrame:
+    """(run_id, position, file_name, source_dir, destination_dir, destination_name): the first moves of every run."""
+    shown = ledger.withColumn("position", F.row_number().over(Window.partitionBy("run_id").orderBy("seq"))).filter(F.col("position") <= most)
+    source, destination = F.col("source"), F.col("destination")
+    return shown.select(
+        "run_id",
+        "position",
+        names.base_name(source).alias("file_name"),
+        names.parent(source).alias("source_dir"),
+        names.parent(destination).alias("destination_dir"),
+        names.base_name(destination).alias("destination_name"),
+    )
+
+
+def rebuilt(ledger: DataFrame, undone: DataFrame) -> DataFrame:
+    """(run_id, run_day, n_entries, is_undone) from the moves and the undo events (run_id) alone; the same however often."""
+    flags = undone.select("run_id").distinct().withColumn("__undone", F.lit(True))
+    counted = ledger.groupBy("run_id").agg(F.max("run_day").alias("run_day"), F.count("*").alias("n_entries"))
+    return counted.join(flags, "run_id", "left").select("run_id", "run_day", "n_entries", F.coalesce("__undone", F.lit(False)).alias("is_undone"))
+
+
+def mark_undone(undone: DataFrame, run_id: str) -> DataFrame:
+    """The undo events with one more; a second mark changes nothing."""
+    return undone.select("run_id").union(undone.sparkSession.createDataFrame([(run_id,)], "run_id string")).distinct()
+
+
+def chains(scratch: Scratch, ledger: DataFrame) -> DataFrame:
     """(run_id, first_source, last_destination, n_moves) of files moved several times in a run.
 
-    Within a run a move continues the one whose destination is its source.
+    A move continues the last one before it that came to its source, if nothing
+    has left from there since.  Moves are linked by a window over each path of a
+    run and followed by pointer jumping, so no run is ever held in one task.
     """
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        at: dict[str, list] = {}
-        for source, destination in rows.sort_values("seq")[["source", "destination"]].itertuples(index=False):
-            first, n = at.pop(source, (source, 0))
-            at[destination] = [first, n + 1]
-        ends = [(rows["run_id"].iloc[0], first, last, n) for last, (first, n) in at.items()]
-        return pd.DataFrame(ends, columns=["run_id", "first_source", "last_destination", "n_moves"])
-
-    return ledger.select("run_id", "seq", "source", "destination").groupBy("run_id").applyInPandas(
-        fold, "run_id string, first_source string, last_destination string, n_moves long"
+    moves = ledger.select("run_id", "seq", "source", "destination")
+    ends = moves.select("run_id", "seq", F.col("source").alias("path"), F.lit(0).alias("arrives")).union(
+        moves.select("run_id", "seq", F.col("destination").alias("path"), F.lit(1).alias("arrives"))
+    )
+    at = Window.partitionBy("run_id", "path").orderBy("seq", "arrives")
+    before = F.when(F.lag("arrives").over(at) == 1, F.lag("seq").over(at))
+    table = scratch.save(ends.withColumn("head", F.coalesce(before, "seq")).filter("arrives = 0").select("run_id", "seq", "head"), "heads")
+    while True:
+        up = table.select(F.col("run_id").alias("__run"), F.col("seq").alias("__seq"), F.col("head").alias("__head"))
+        jumped = table.join(up, (F.col("run_id") == F.col("__run")) & (F.col("head") == F.col("__seq")))
+        following = scratch.save(jumped.select("run_id", "seq", F.col("__head").alias("head"), (F.col("__head") != F.col("head")).alias("moved")), "heads")
+        table = following.drop("moved")
+        if not following.filter("moved").limit(1).count():
+            break
+    return (
+        moves.join(table, ["run_id", "seq"])
+        .groupBy("run_id", "head")
+        .agg(F.min_by("source", "seq").alias("first_source"), F.max_by("destination", "seq").alias("last_destination"), F.count("*").alias("n_moves"))
+        .drop("head")
     )

@@ -1,7 +1,8 @@
 """Move plans: who goes where, with names that clash with nothing.
 
-A plan is a lazy (stage_ord, stage, label, source, destination); applying one
-is a separate step on the driver (``ledgerline.plans.apply``).
+A plan is a lazy (label, source, destination, status), with (stage_ord, stage)
+before them where it has stages; applying one is a separate step on the driver
+(``ledgerline.plans.apply``).
 """
 
 from __future__ import annotations
@@ -66,10 +67,36 @@ def pre_plan(files: DataFrame, as_of: float, size_mb: float | None, age_days: fl
     return files.withColumn("label", label).filter("label is not null").withColumn("folder", F.concat_ws("/", "root", "label"))
 
 
-def category_plan(files: DataFrame, folder: Column, chosen: list[str] | None = None) -> DataFrame:
-    """Files with their category as label and ``folder``/category as folder; all categories, or the chosen ones."""
+def available(files: DataFrame, known: list[str]) -> DataFrame:
+    """(category, n_files) of the known categories, and the one for all others, that have files."""
+    return files.filter(F.col("category").isin(known)).groupBy("category").agg(F.count("*").alias("n_files"))
+
+
+def category_plan(
+    files: DataFrame, folder: Column, chosen: list[str] | None = None, extensions: dict[str, list[str]] | None = None, present: DataFrame | None = None
+) -> DataFrame:
+    """Files with their category as label and ``folder``/category as folder; all categories, or the chosen ones.
+
+    Where a category's folder exists, as ``present`` (folder) tells, only files
+    with one of its ``extensions`` go, if it names any; into a new folder all go.
+    """
     kept = files if chosen is None else files.filter(F.col("category").isin(chosen))
-    return kept.withColumn("label", F.col("category")).withColumn("folder", F.concat_ws("/", folder, "category"))
+    placed = kept.withColumn("label", F.col("category")).withColumn("folder", F.concat_ws("/", folder, "category"))
+    if not extensions or present is None:
+        return placed
+    there = present.select(F.col("folder").alias("__there")).distinct()
+    wanted = F.lit(True)
+    for name, listed in extensions.items():
+        wanted = wanted & ((F.col("label") != name) | F.col("ext").isin(listed))
+    return placed.join(there, F.col("folder") == F.col("__there"), "left").filter(F.col("__there").isNull() | wanted).drop("__there")
+
+
+def preview(files: DataFrame, chosen: list[str] | None = None, most: int = 150) -> DataFrame:
+    """(position, path, name, category, size_label) of the first files that would move, by path; ``N/A`` for unknown sizes."""
+    kept = files if chosen is None else files.filter(F.col("category").isin(chosen))
+    label = F.coalesce(names.size_label(F.col("size")), F.lit("N/A")).alias("size_label")
+    shown = kept.orderBy("path").limit(most).select("path", "name", "category", label)
+    return shown.withColumn("position", F.row_number().over(Window.orderBy("path")))
 
 
 def post_plan(present: DataFrame, planned: DataFrame, as_of: float, size_mb: float | None, age_days: float | None) -> DataFrame:
@@ -94,19 +121,54 @@ def resolve(plan: DataFrame, existing: DataFrame) -> DataFrame:
 
     ``existing`` is (folder, name, size, content) at the destinations.  A file
     whose bytes equal those of the file that has its name there is ``skipped``
-    with no destination; others move to a free name.
+    with no destination; others move to a free name.  Digests are taken before
+    the join, so bytes never move.
     """
     digest = F.sha2(F.col("content").cast("binary"), 256)
     at_home = existing.select("folder", "name", digest.alias("__there")).dropDuplicates(["folder", "name"])
-    joined = plan.join(at_home, ["folder", "name"], "left")
-    same = F.coalesce(F.col("__there") == digest, F.lit(False)) if "content" in plan.columns else F.lit(False)
-    flagged = joined.withColumn("__same", same).select("label", F.col("path").alias("source"), "folder", "name", "__same")
+    own = digest if "content" in plan.columns else F.lit(None).cast("string")
+    arriving = plan.select("label", F.col("path").alias("source"), "folder", "name", own.alias("__own"))
+    joined = arriving.join(at_home, ["folder", "name"], "left")
+    flagged = joined.withColumn("__same", F.coalesce(F.col("__there") == F.col("__own"), F.lit(False))).drop("__own", "__there")
     moved = unique_names(flagged.filter("not __same"), existing.select("folder", "name"))
     moved = moved.select("label", "source", F.concat_ws("/", "folder", "new_name").alias("destination"), F.lit("move").alias("status"))
     skipped = flagged.filter("__same").select("label", "source", F.lit(None).cast("string").alias("destination"), F.lit("skipped").alias("status"))
     return moved.unionByName(skipped)
 
 
+STAGES = ("pre", "category", "post")
+
+
+def run_stages(files: DataFrame, existing: DataFrame, as_of: float, size_mb: float | None, age_days: float | None, stages: tuple[str, ...] = STAGES) -> DataFrame:
+    """(stage_ord, stage, label, source, destination, status): the plans of the chosen stages, one after another.
+
+    The pre stage takes large and old files out of each root; the category stage
+    places what remains, or everything if there is no pre stage; the post stage
+    takes large and old files out of where the category stage has put them.
+    """
+    plans = {}
+    remaining = files
+    if "pre" in stages:
+        taken = pre_plan(files, as_of, size_mb, age_days)
+        plans["pre"] = resolve(taken, existing)
+        remaining = files.join(taken.select("path"), "path", "left_anti")
+    placed = resolve(category_plan(remaining, F.col("root")), existing)
+    if "category" in stages:
+        plans["category"] = placed
+    if "post" in stages:
+        moved = placed.filter("status = 'move'").select(F.col("source").alias("path"), "destination")
+        at = moved.join(remaining.select("path", "category", "size", "mtime"), "path").select(
+            names.parent(F.col("destination")).alias("folder"), "category", names.base_name(F.col("destination")).alias("name"), "size", "mtime"
+        )
+        plans["post"] = post_plan(at.limit(0), at, as_of, size_mb, age_days).withColumn("status", F.lit("move"))
+    found = None
+    for order, stage in enumerate(STAGES, 1):
+        if stage in plans:
+            part = plans[stage].select(F.lit(order).alias("stage_ord"), F.lit(stage).alias("stage"), "label", "source", "destination", "status")
+            found = part if found is None else found.unionByName(part)
+    return found
+
+
 def mismatches(files: DataFrame, known: list[str]) -> DataFrame:
     """(path, name, current, correct) of direct children of category folders that belong elsewhere."""
     current = names.base_name(F.col("parent"))
@@ -114,3 +176,10 @@ def mismatches(files: DataFrame, known: list[str]) -> DataFrame:
     return files.filter(inside & current.isin(known) & (current != F.col("category"))).select(
         "path", "name", "root", current.alias("current"), F.col("category").alias("correct")
     )
+
+
+def mismatch_fix_plan(files: DataFrame, known: list[str]) -> DataFrame:
+    """(label, source, destination, status): mismatched files moved to their root's right folder; what lies there counts."""
+    wrong = mismatches(files, known).withColumnRenamed("root", "__root").join(files.select("path", "content"), "path")
+    plan = wrong.select(F.col("correct").alias("label"), "path", F.concat_ws("/", "__root", "correct").alias("folder"), "name", "content")
+    return resolve(plan, files.select(F.col("parent").alias("folder"), "name", "size", "content"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerline.functions import names
 from ledgerline.plans.organize import unique_names
@@ -21,3 +21,9 @@ def rename_plan(files: DataFrame, rule: tuple) -> DataFrame:
     moved = unique_names(moving, taken).select("source", F.concat_ws("/", "folder", "new_name").alias("destination"))
     kept = still.select(F.col("path").alias("source"), F.col("path").alias("destination"))
     return moved.unionByName(kept).withColumn("changed", F.col("source") != F.col("destination"))
+
+
+def preview(plan: DataFrame, most: int = 50) -> DataFrame:
+    """(position, source, destination) of the first files, by path, whose name changes."""
+    shown = plan.filter("changed").orderBy("source").limit(most).select("source", "destination")
+    return shown.withColumn("position", F.row_number().over(Window.orderBy("source")))

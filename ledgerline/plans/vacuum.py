@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ledgerline.functions import names
 
 
 def empty_folders(folders: DataFrame) -> DataFrame:
@@ -22,3 +24,13 @@ def vacuum_plan(empty: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     above = F.concat_ws("/", F.slice(parts, F.lit(1), F.size(parts) - 1))
     return empty.join(empty.select(F.col("path").alias("__up")), above == F.col("__up"), "left_anti").select("path", "depth")
+
+
+def to_trash(topmost: DataFrame, trash: str, batch: str) -> DataFrame:
+    """(step, source, destination): folders (path, depth) moved into a batch, shallow ones first, names made unique."""
+    name = names.base_name(F.col("path"))
+    order = ["depth", "path"]
+    nth = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
+    unique = F.concat(name, F.when(nth > 0, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""))
+    step = F.row_number().over(Window.partitionBy("depth").orderBy("path"))
+    return topmost.select("depth", step.alias("step"), F.col("path").alias("source"), F.concat_ws("/", F.lit(trash), F.lit(batch), unique).alias("destination"))

@@ -23,23 +23,6 @@ def with_names(files: DataFrame) -> DataFrame:
     )
 
 
-def scan(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, root, name, size, mtime, content) of a real folder; content is read only where selected."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    raw = reader.load(root)
-    path = F.regexp_replace("path", "^file:(//)?", "")
-    inside = F.split(path, "/")
-    kept = ~F.arrays_overlap(inside, F.array(*[F.lit(d) for d in INTERNAL]))
-    return raw.filter(kept).select(
-        path.alias("path"),
-        F.lit(root).alias("root"),
-        names.base_name(path).alias("name"),
-        F.col("length").alias("size"),
-        (F.unix_micros("modificationTime") / 1e6).alias("mtime"),
-        "content",
-    )
-
-
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path, root, parent, name, size, mtime, content, ext, category, is_excluded) over ``documents``.
 
