@@ -1,41 +1,12 @@
-"""Near copies by exact similarity of word shingles: a prefix-filtered set join.
-
-A text is the set of its shingles' hashes.  Two sets of Jaccard similarity s or
-more share at least ceil(s * n) members of each, so, all sets being sorted by one
-order, they share a member among the first n - ceil(s * n) + 1 of each.  Every
-set therefore indexes that prefix only, an equality join on the member brings
-together all candidates, and the whole sets are compared.  The order puts members
-last that a sample of documents holds often; it decides how many candidates meet,
-not which pairs are linked.
-
-Candidates are compared in two rounds.  In the first, each member's sets meet the
-one of smallest id alone, which joins large groups of copies by links in
-proportion to their members.  In the second, all pairs of a member meet that are
-not yet of one component.  Sets that share a rare member without being similar
-are compared pair by pair.
-
-Defined results: words and case as in ``simhash``; texts of fewer words than a
-shingle are one shingle; texts without words are copies of each other; rows
-without an id link with nothing; rows that repeat an id are one vertex.
-"""
+"""Sets of word shingles and their similarity."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from ledgerline.llm.simhash import LOWER
-from ledgerline.operators.components import connected_components
-from ledgerline.sources.scratch import Scratch
 
-MEMBER = "key long, id long, size int, pos int"
-SAMPLE = 10_000
-OFTEN = 8
-STRIP = 512
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -60,163 +31,3 @@ def similar(x: np.ndarray, y: np.ndarray, least: Fraction) -> bool:
     """Whether two sets' Jaccard similarity is at least ``least``."""
     common = len(np.intersect1d(x, y, assume_unique=True))
     return common * least.denominator >= least.numerator * (len(x) + len(y) - common)
-
-
-def possible(size_a: np.ndarray, pos_a: np.ndarray, size_b: np.ndarray, pos_b: np.ndarray, least: Fraction) -> np.ndarray:
-    """Whether sets whose first common member has these positions can be similar enough."""
-    common = np.minimum(size_a - pos_a, size_b - pos_b)
-    return common * (least.numerator + least.denominator) >= least.numerator * (size_a + size_b)
-
-
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return first, np.diff(np.r_[first, len(key)])
-
-
-def _table(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> list[np.ndarray]:
-    parts = list(batches)
-    return [np.concatenate([np.empty(0, dtype=np.int64), *(b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for b in parts)]).astype(np.int64) for c in names]
-
-
-def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that a sample of documents holds often, ascending, and how often."""
-    every = max(1, texts.count() // SAMPLE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64))], names=["key"])
-
-    some = texts.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").mapInArrow(run, "key long")
-    rows = some.groupBy("key").count().filter(F.col("count") >= OFTEN).toPandas()
-    keys, counts = rows["key"].to_numpy(dtype=np.int64).view(np.uint64), rows["count"].to_numpy(dtype=np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def _prefixes(texts: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """(key, id, size, pos): the first members of every set, by rising frequency."""
-    keys, counts = _common(texts, words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made, sizes, lengths = [], [], []
-            for t in batch.column(1):
-                members = shingle_set(t.as_py(), words)
-                n = len(members)
-                often = np.zeros(n, dtype=np.int64)
-                if len(keys) and n:
-                    at = np.minimum(np.searchsorted(keys, members), len(keys) - 1)
-                    often = np.where(keys[at] == members, counts[at], 0)
-                length = n - -(-least.numerator * n // least.denominator) + 1 if n else 0
-                made.append(members[np.lexsort((members, often))[:length]])
-                sizes.append(n)
-                lengths.append(length)
-            key = np.concatenate([np.empty(0, dtype=np.uint64), *made]).view(np.int64)
-            pos = np.concatenate([np.empty(0, dtype=np.int64), *map(np.arange, lengths)])
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths)
-            size = np.repeat(np.array(sizes, dtype=np.int64), lengths)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(ids), pa.array(size.astype(np.int32)), pa.array(pos.astype(np.int32))], names=["key", "id", "size", "pos"]
-            )
-
-    return texts.select("id", "text").mapInArrow(run, MEMBER)
-
-
-def _first_round(members: DataFrame, least: Fraction) -> DataFrame:
-    """Members of keys that several sets share; ``lead`` is the set to be compared, if it can be similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, size, pos = _table(batches, ("key", "id", "size", "pos"))
-        if not len(key):
-            return
-        order = np.lexsort((ids, key))
-        key, ids, size, pos = key[order], ids[order], size[order], pos[order]
-        first, n = _runs(key)
-        lead = np.repeat(first, n)
-        near = possible(size, pos, size[lead], pos[lead], least) & (ids != ids[lead])
-        many = np.repeat(n > 2, n)
-        out = many | near
-        leads = pa.array(ids[lead][out], mask=~near[out])
-        columns = [key[out], ids[out], size[out].astype(np.int32), pos[out].astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), leads, pa.array(many[out])], names=["key", "id", "size", "pos", "lead", "many"])
-
-    return members.repartition("key").mapInArrow(run, f"{MEMBER}, lead long, many boolean")
-
-
-def _second_round(members: DataFrame, least: Fraction) -> DataFrame:
-    """(a, b): the pairs of a key that are of different components and can be similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, size, pos, group = _table(batches, ("key", "id", "size", "pos", "component"))
-        if not len(key):
-            return
-        order = np.argsort(key, kind="stable")
-        key, ids, size, pos, group = key[order], ids[order], size[order], pos[order], group[order]
-        first, n = _runs(key)
-        mixed = np.minimum.reduceat(group, first) != np.maximum.reduceat(group, first)
-        for f, m in zip(first[mixed].tolist(), n[mixed].tolist()):
-            whole = slice(f, f + m)
-            for a in range(f, f + m, STRIP):
-                strip = slice(a, min(a + STRIP, f + m))
-                hit = possible(size[strip, None], pos[strip, None], size[whole], pos[whole], least)
-                hit &= (group[strip, None] != group[whole]) & (ids[strip, None] < ids[whole])
-                i, j = np.nonzero(hit)
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[strip][i]), pa.array(ids[whole][j])], names=["a", "b"])
-
-    return members.repartition("key").mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            keep = []
-            for a, b, s, t in zip(*(c.to_pylist() for c in batch.columns)):
-                if len(held) > 256:
-                    held.clear()
-                for i, text in ((a, s), (b, t)):
-                    if i not in held:
-                        held[i] = shingle_set(text, words)
-                keep.append(similar(held[a], held[b], least))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = texts.select(F.col("id").alias("__a"), F.col("text").alias("s"))
-    right = texts.select(F.col("id").alias("__b"), F.col("text").alias("t"))
-    both = pairs.join(right, F.col("b") == F.col("__b")).join(left, F.col("a") == F.col("__a"))
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(spark: SparkSession, documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``documents`` (doc_id, text) to (doc_id, component_id): the smallest doc_id reachable over similar texts."""
-    scratch, least = Scratch(spark, "shingles"), Fraction(str(similarity))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).filter("doc is not null")
-    bare = F.trim(F.lower("text"), F.lit(" \t\n\r\x0b\x0c")) == ""
-    marked = rows.withColumn("digest", F.when(bare, F.lit("")).otherwise(F.sha2("text", 256)))
-    # every distinct text has an id of its own, as rows that repeat a doc_id can differ in text
-    copies = scratch.save(marked.groupBy("digest").agg(F.min("doc").alias("first")), "distinct")
-    named = copies.withColumn("id", F.xxhash64("digest")).withColumnRenamed("digest", "__d")
-    held = marked.join(named, (F.col("doc") == F.col("first")) & (F.col("digest") == F.col("__d"))).select("id", "text").dropDuplicates(["id"])
-    texts = scratch.save(held, "texts")
-    rounds = scratch.save(_first_round(_prefixes(texts, words, least), least), "members")
-    leads = scratch.save(rounds.filter("lead is not null").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "leads")
-    links = scratch.save(_verified(leads, texts, words, least), "links")
-    groups = connected_components(scratch, links)
-    many = rounds.filter("many").join(groups, F.col("id") == F.col("node"), "left")
-    members = many.select("key", "id", "size", "pos", F.coalesce("component", "id").alias("component"))
-    rest = scratch.save(_second_round(members, least).distinct(), "rest")
-    more = scratch.save(_verified(rest, texts, words, least), "more")
-    ids = scratch.save(marked.select("doc", F.xxhash64("digest").alias("own")), "ids")
-    first = named.select(F.col("id").alias("own"), F.col("first"))
-    ends = lambda frame: (
-        frame.join(first.select(F.col("own").alias("__x"), F.col("first").alias("x")), F.col("a") == F.col("__x"))
-        .join(first.select(F.col("own").alias("__y"), F.col("first").alias("y")), F.col("b") == F.col("__y"))
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
-    same = ids.join(first.withColumnRenamed("own", "__o"), F.col("own") == F.col("__o")).select(F.col("doc").alias("a"), F.col("first").alias("b"))
-    found = connected_components(scratch, ends(links).union(ends(more)).union(same))
-    every = ids.select(F.col("doc").alias("doc_id")).distinct()
-    return every.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))

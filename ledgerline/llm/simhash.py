@@ -27,11 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerline.llm.shingles import LOWER
 from ledgerline.operators.components import connected_components
 from ledgerline.sources.scratch import Scratch
 
 SEGMENT = 32
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:

@@ -11,7 +11,8 @@ import pytest
 import corpus_pipeline
 from ledgerline.llm import quality, toxicity
 from ledgerline.sources.scratch import Scratch
-from plain import WORD, fingerprint, mixing_targets, smallest_reachable, top_segments
+from plain import WORD, mixing_targets, top_segments
+from test_shingles import kept_ids
 
 
 @pytest.fixture(scope="module")
@@ -80,13 +81,8 @@ def test_toxicity_stage(spark, steps, labels):
 
 def test_near_copies_stage(steps):
     docs, made = steps["near_copies"]
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    ids = sorted(texts)
-    prints = [fingerprint(texts[d], 5) for d in ids]
-    pairs = [(i, j) for i in range(len(ids)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
-    roots = smallest_reachable(len(ids), pairs)
-    lead = {d: ids[roots[i]] == d for i, d in enumerate(ids)}
-    assert rows(made) == kept_by(docs, lambda r: lead[r.doc_id])
+    lead = kept_ids([(r.doc_id, r.text) for r in docs.collect()])
+    assert rows(made) == kept_by(docs, lambda r: r.doc_id in lead)
     assert made.count() < docs.count()
 
 
