@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import mixing, quality, sentencepiece, shingles, toxicity
+from ledgerline.llm import mixing, quality, sentencepiece, similar, toxicity
 from ledgerline.sources.scratch import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -40,8 +40,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every group of near copies: five-word shingles, similarity 0.8."""
-    groups = shingles.near_duplicates(spark, docs, words=5, similarity=0.8)
+    """The document of smallest id of every group of near copies: SimHash candidates, verified at similarity 0.8 of five-word shingles."""
+    groups = similar.near_duplicates(spark, docs, words=5, similarity=0.8)
     dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
     return docs.join(dropped.alias("gone"), docs["doc_id"] == F.col("gone.__dropped"), "left_anti")
 
