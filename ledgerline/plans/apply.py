@@ -70,7 +70,7 @@ def read_run_logs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     entry = "array<struct<source: string, destination: string>>"
     name = F.regexp_extract("_metadata.file_name", r"^(run_.*?)(?:[.]undone)?[.]json$", 1)
     logs = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "run_*.json").text(folder)
+        spark.read.text(folder, wholetext=True, pathGlobFilter="run_*.json")
         .select(
             name.alias("run_id"),
             F.regexp_extract(name, r"^run_(\d{8})", 1).alias("run_day"),

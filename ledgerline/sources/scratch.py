@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.sources.ship import ship
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder for scratch tables, from the session's ``spark.checkpoint.dir``."""
@@ -31,6 +33,7 @@ class Scratch:
     """Tables of one query, under a folder of its own inside the shared root."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        ship(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
