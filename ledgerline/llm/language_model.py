@@ -9,10 +9,11 @@ Seating is sampled by Gibbs sweeps.  A dish's customers in one restaurant are
 reseated together, given the restaurant's other tables and the dish's parent
 probability.  For up to ``SMALL`` customers the number of tables is drawn from
 its conditional itself (generalised Stirling numbers).  For more, a seating is
-drawn from the Chinese restaurant process, table by table through the waiting
-time to the next new one, and accepted by Metropolis-Hastings against the
-present seating, which its random numbers draw again; so both are exact, and
-cost grows with tables, not with customers.  The parent's dishes are reseated
+drawn table by table, through the waiting time to the next new one, from a
+process close to the Chinese restaurant's for customers of one dish, and accepted
+by Metropolis-Hastings against the present seating, which its random numbers
+draw again; so both leave the conditional as it is, and cost grows with tables,
+not with customers.  The parent's dishes are reseated
 likewise.  All dishes of a sweep meet the totals of the sweep before.  The first
 ``burn_in`` sweeps are discarded and the predictive probabilities of the next
 ``samples`` are averaged.  Discounts are estimated from the numbers of pairs,
@@ -55,9 +56,9 @@ ENVELOPE = "kind string, node long, origin long, parts array<binary>, stats arra
 SCHEMA = pa.schema([("kind", pa.string()), ("node", pa.int64()), ("origin", pa.int64()), ("parts", pa.list_(pa.binary())), ("stats", pa.list_(pa.float64()))])
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 #: Dishes of up to so many customers are drawn from their conditional, others by Metropolis-Hastings.
-SMALL = 64
-#: Dishes of more customers are seated one by one, others all at once; both draw the same seatings.
-SINGLE = 512
+SMALL = 512
+#: Up to so many customers the conditional is worked out in plain products, then in logarithms.
+DIRECT = 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 PLACE = np.uint64(2**32 - 1)
 
@@ -144,127 +145,81 @@ def _uniform_one(key: int, salt: int) -> float:
     return (((x ^ (x >> 31)) >> 11) + 0.5) / 2**53
 
 
-def lgamma(x: np.ndarray) -> np.ndarray:
-    """log Gamma for x > 0: Stirling's series after a shift by eight."""
-    shift = x * (x + 1) * (x + 2) * (x + 3) * ((x + 4) * (x + 5) * (x + 6) * (x + 7))
-    big = x > 1e30
-    y = x + 8
-    r = 1 / (y * y)
-    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - np.log(np.where(big, 1.0, shift))
-
-
 # seating
 
 
-def stirling_steps(d: float, most: int = SMALL) -> np.ndarray:
-    """log(S(c, k + 1) / S(c, k)) of the generalised Stirling numbers at [c, k]; -inf beyond k = c - 1."""
-    s = np.zeros((most + 1, most + 2))
-    s[1, 1] = 1.0
-    for c in range(1, most):
-        k = np.arange(1, most + 1)
-        s[c + 1, 1 : most + 1] = s[c, 0:most] + np.maximum(c - d * k, 0.0) * s[c, 1 : most + 1]
+def stirling_steps(d: float, most: int) -> np.ndarray:
+    """log(S(c, k + 1) / S(c, k)) of the generalised Stirling numbers at [c, k], k < c."""
+    log_s = np.full((most + 1, most + 2), -np.inf)
+    log_s[1, 1] = 0.0
+    k = np.arange(1, most + 1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        steps = np.log(s[:, 1:]) - np.log(s[:, :-1])
-    steps[~np.isfinite(steps)] = -np.inf
-    return steps
+        for c in range(1, most):
+            log_s[c + 1, 1 : most + 1] = np.logaddexp(log_s[c, :most], np.log(np.maximum(c - d * k, 0.0)) + log_s[c, 1 : most + 1])
+        return log_s[:, 1:] - log_s[:, :-1]
+
+
+_steps: dict[float, np.ndarray] = {}
 
 
 def draw_small(c: np.ndarray, strength: np.ndarray, parent: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
-    """Tables of dishes of 1 to ``SMALL`` customers, from their conditional; ``u`` are the random numbers."""
+    """Tables of dishes of 1 to ``SMALL`` customers, from their conditional; ``u`` are the random numbers.
+
+    ``strength`` is theta + d * the restaurant's other tables.
+    """
     t = np.ones(len(c))
-    steps = stirling_steps(d)
+    if d not in _steps:
+        _steps.clear()
+        _steps[d] = stirling_steps(d, SMALL)
+    steps = _steps[d]
     order = np.argsort(c, kind="stable")
     bounds = np.searchsorted(c[order], np.arange(SMALL + 2))
-    for size in range(2, SMALL + 1):
+    for size in np.flatnonzero(np.diff(bounds)).tolist():
+        if size < 2:
+            continue
         own = order[bounds[size] : bounds[size + 1]]
         k = np.arange(1, size)
-        for a in range(0, len(own), 1 << 15):
-            at = own[a : a + (1 << 15)]
-            logs = np.log(strength[at, None] + d * k) + np.log(parent[at])[:, None] + steps[size, 1:size]
-            logs = np.c_[np.zeros(len(at)), np.cumsum(logs, axis=1)]
-            weight = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
-            t[at] = 1 + (weight < u[at, None] * weight[:, -1:]).sum(axis=1)
+        width = max(1, (1 << 18) // size)
+        for a in range(0, len(own), width):
+            at = own[a : a + width]
+            if size <= DIRECT:  # one row per number of tables; products of so few factors stay in range
+                ratio = (strength[at] + d * k[:, None]) * (parent[at] * np.exp(steps[size, 1:size])[:, None])
+                weight = np.empty((size, len(at)))
+                weight[0], weight[1:] = 1.0, np.cumprod(ratio, axis=0)
+            else:
+                logs = np.log(strength[at] + d * k[:, None]) + (np.log(parent[at]) + steps[size, 1:size, None])
+                logs = np.concatenate([np.zeros((1, len(at))), np.cumsum(logs, axis=0)])
+                weight = np.exp(logs - logs.max(axis=0))
+            weight = np.cumsum(weight, axis=0)
+            t[at] = 1 + (weight < u[at] * weight[-1]).sum(axis=0)
     return t
 
 
-def seat(c: np.ndarray, draw: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], d: float, key: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of seatings drawn customer by customer, and their log weights.
+def seat(c: float, drawn: tuple[float, float], now: tuple[float, float], d: float, key: int, salt: int) -> tuple[float, float]:
+    """Tables of a seating of one dish's customers, and its log weight: what it is worth over how likely it was to be drawn.
 
-    ``draw`` and ``other`` are (strength, parent probability) of each dish,
-    strength being theta + d * the restaurant's other tables; a seating is drawn
-    under ``draw`` and weighted under ``other``.
+    Both settings are (strength, parent probability).  Under the Chinese
+    restaurant process a customer after n opens a table with odds that fall as
+    1 / n; but a table also lessens what later customers of this dish are worth,
+    about as (n / c) ** d.  The seating is drawn with both: the wait for the next
+    table then has the survival exp(-a / d * ((m / c) ** d - (n / c) ** d)), so
+    each table costs one random number.  It is drawn under ``drawn`` and weighed
+    under ``now``.
     """
-    t, weight = np.ones(len(c)), np.zeros(len(c))
-    single = np.flatnonzero(c > SINGLE)
-    for i in single.tolist():
-        t[i], weight[i] = _seat_one(float(c[i]), float(draw[0][i]), float(draw[1][i]), float(other[0][i]), float(other[1][i]), d, int(key[i]), int(salt[i]))
-    seated = np.ones(len(c))
-    act = np.flatnonzero((c > 1) & (c <= SINGLE))
-    turn = 0
-    while len(act):
-        n, all_ = seated[act], c[act].astype(np.float64)
-        gone = d * t[act]
-        a = (draw[0][act] + gone) * draw[1][act]
-        lead = lgamma(a + n - gone) - lgamma(n - gone)
-        level = np.log(uniform(key[act], salt[act] * 1_000_003 + turn))
-        opens = level > lgamma(all_ - gone) - lgamma(a + all_ - gone) + lead
-        end = all_.copy()
-        if opens.any():
-            end[opens] = _wait(n[opens], all_[opens], a[opens], gone[opens], lead[opens], level[opens]) + 1
-        b = (other[0][act] + gone) * other[1][act]
-        weight[act] += lgamma(b + end - gone) - lgamma(b + n - gone)
-        t[act] += opens
-        seated[act] = end
-        act = act[seated[act] < c[act]]
-        turn += 1
-    return t, weight
-
-
-def _wait(n: np.ndarray, all_: np.ndarray, a: np.ndarray, gone: np.ndarray, lead: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """After how many customers the next opens a table: where the survival falls below its random level."""
-    low, high = n, all_ - 1
-    while True:
-        wide = low < high
-        if not wide.any():
-            return low
-        middle = np.floor((low + high) / 2)
-        falls = lgamma(middle + 1 - gone) - lgamma(a + middle + 1 - gone) + lead < level
-        high = np.where(wide & falls, middle, high)
-        low = np.where(wide & ~falls, middle + 1, low)
-
-
-def _seat_one(c: float, strength: float, parent: float, strength2: float, parent2: float, d: float, key: int, salt: int) -> tuple[float, float]:
-    """``seat`` of one dish of many customers; the wait is bracketed around its power-law estimate."""
-    log_gamma = math.lgamma
-    t, n, weight, turn = 1.0, 1.0, 0.0, 0
+    log_gamma, log, odd = math.lgamma, math.log, 1 / d
+    t, n, start, weight = 1, 1, c**-d, 0.0
+    base = salt * 1_000_003
     while n < c:
         gone = d * t
-        a = (strength + gone) * parent
-        lead = log_gamma(a + n - gone) - log_gamma(n - gone)
-        level = math.log(_uniform_one(key, salt * 1_000_003 + turn))
-        opens = level > log_gamma(c - gone) - log_gamma(a + c - gone) + lead
-        end = c
-        if opens:
-            low, high = n, c - 1
-            guess = min(high, max(low, math.floor((n - gone + a / 2) * math.exp(min(700.0, -level / a)) + gone)))
-            step = 1.0
-            while low < high:
-                if log_gamma(guess + 1 - gone) - log_gamma(a + guess + 1 - gone) + lead < level:
-                    high = guess
-                    guess = max(low, high - step)
-                else:
-                    low = guess + 1
-                    guess = min(high - 1, low + step)
-                step *= 2
-                if not low <= guess < high or step > 64:
-                    guess = math.floor((low + high) / 2)
-            end = low + 1
-        b = (strength2 + gone) * parent2
-        weight += log_gamma(b + end - gone) - log_gamma(b + n - gone)
-        t += opens
-        n = end
-        turn += 1
+        reached = start - d * log(_uniform_one(key, base + t)) / ((drawn[0] + gone) * drawn[1])
+        b = (now[0] + gone) * now[1] * odd
+        if reached >= 1:
+            return t, weight + log_gamma(c - gone) - log_gamma(n - gone) + b * (1 - start)
+        seated = min(c, max(n + 1, math.ceil(c * reached**odd)))
+        before, after = ((seated - 1) / c) ** d, (seated / c) ** d
+        weight += log_gamma(seated - 1 - gone) - log_gamma(n - gone) + log(b * d) + b * (before - start)
+        weight -= log(max(-math.expm1(-b * (after - before)), 1e-300))
+        t, n, start = t + 1, seated, after
     return t, weight
 
 
@@ -291,20 +246,16 @@ def reseat(c: np.ndarray, strength: np.ndarray, parent: np.ndarray, d: float, ke
     t = np.minimum(c, 1).astype(np.float64)
     few = np.flatnonzero((c > 1) & (c <= SMALL))
     t[few] = draw_small(c[few].astype(np.int64), strength[few], parent[few], d, uniform(key[few], salt))
-    many = np.flatnonzero(c > SMALL)
-    if len(many):
-        now = strength[many], parent[many]
-        salts = np.full(len(many), salt, dtype=np.uint64)
-        proposed, weight = seat(c[many], now, now, d, key[many], salts)
-        known = memory.salt[many] > 0
-        old = many[known]
-        present, before = seat(c[old], (memory.strength[old], memory.parent[old]), (strength[old], parent[old]), d, key[old], memory.salt[old])
-        take = np.ones(len(many), dtype=bool)
-        take[known] = np.log(uniform(~key[old], salt)) < weight[known] - before
-        t[many] = proposed
-        t[old[~take[known]]] = present[~take[known]]
-        new = many[take]
-        memory.strength[new], memory.parent[new], memory.salt[new] = strength[new], parent[new], salt
+    for i in np.flatnonzero(c > SMALL).tolist():
+        size, now, own = float(c[i]), (float(strength[i]), float(parent[i])), int(key[i])
+        tables, weight = seat(size, now, now, d, own, salt)
+        if memory.salt[i]:
+            present, before = seat(size, (float(memory.strength[i]), float(memory.parent[i])), now, d, own, int(memory.salt[i]))
+            if math.log(_uniform_one(own ^ 0xFFFFFFFFFFFFFFFF, salt)) >= weight - before:
+                t[i] = present
+                continue
+        t[i] = tables
+        memory.strength[i], memory.parent[i], memory.salt[i] = *now, salt
     few = c <= SMALL
     memory.strength[few], memory.parent[few], memory.salt[few] = 0.0, 0.0, 0
     return t
