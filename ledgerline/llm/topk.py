@@ -5,19 +5,29 @@ dimension, its vectors sorted by that component.  A query reads all lists in
 parallel from their better end, as many entries deeper each round as it has read;
 vectors seen for the first time are scored in full.  No unseen vector can score
 more than the sum of the products at the current depth, so a query stops when
-that bound falls below its kth result.  Results of the blocks a task has done
-tighten the bound for its next block: a block whose best conceivable score is
-below it is skipped unread.
+that bound falls below its kth result, and only then, or when every vector has
+been seen.  Results of the blocks a task has done tighten the bound for its next
+block: a block whose best conceivable score is below it has none of its lists
+read.  ``Block.search`` tells how deep the lists were read.
+
+How early the bound stops depends on the vectors.  Where few dimensions carry the
+scores it stops soon; where directions are random, as in the test tables, almost
+every vector has been seen in one of the lists by then, and the work grows with
+queries times candidates.
 
 Query rows and candidate blocks meet as pairs of packed blocks, k results leave
 a pair per query, and a window keeps the k best of each.
 
 Components are floor(scale * x) as integers; scores are exact: in double
-precision where they are below 2**53, else in 64-bit integers.
+precision where they are below 2**52, in 64-bit integers below 2**62, else in
+integers of any length, of which those beyond the range of a long count as its
+smallest or largest value and tie there.
 
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part; only vectors of one length are compared; a query's
-candidates are all rows of other ids; ties go to the smaller id.
+candidates are all rows of other ids; ties go to the smaller id; of rows that
+repeat a vec_id each is a candidate and each is a query; rows without a vec_id
+take no part; an empty table gives an empty table; other columns are never read.
 """
 
 from __future__ import annotations
@@ -31,6 +41,7 @@ from ledgerline.sources.scratch import Scratch
 
 RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 FIRST_DEPTH = 16
+LONGEST = 2**63 - 1
 
 
 def sorted_lists(x: np.ndarray) -> np.ndarray:
@@ -38,49 +49,58 @@ def sorted_lists(x: np.ndarray) -> np.ndarray:
     return np.argsort(x, axis=0, kind="stable").astype(np.int32)
 
 
+def integers(x: np.ndarray) -> np.ndarray:
+    """Whole doubles as integers of any length."""
+    return np.array([int(v) for v in x.ravel()], dtype=object).reshape(x.shape)
+
+
 class Block:
     """Candidates with their sorted lists."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, lists: np.ndarray) -> None:
-        self.ids, self.lists = ids, lists
-        largest = float(np.abs(x).max(initial=0))
-        self.exact = x.astype(np.int64)
-        self.double = largest < 2**31 and largest * largest * x.shape[1] < 2**52
-        self.x = x.astype(np.float64) if self.double else self.exact
+        self.ids, self.lists, self.doubles = ids, lists, x
+        self.largest = float(np.abs(x).max(initial=0))
         self.depths = [0]
         depth = FIRST_DEPTH
         while depth < len(ids):
             self.depths.append(depth)
             depth *= 2
         self.depths.append(len(ids))
-        at = np.array(self.depths[:-1])
-        columns = np.arange(x.shape[1])
-        self.low = self.x[lists[at], columns]  # the smallest components, by depth
-        self.high = self.x[lists[len(ids) - 1 - at], columns]
+        self.kinds: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _as(self, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vectors, smallest and largest components by depth) in a kind of number."""
+        if kind not in self.kinds:
+            x = {"double": lambda: self.doubles, "long": lambda: self.doubles.astype(np.int64), "any": lambda: integers(self.doubles)}[kind]()
+            at, columns = np.array(self.depths[:-1]), np.arange(x.shape[1])
+            self.kinds[kind] = x, x[self.lists[at], columns], x[self.lists[len(self.ids) - 1 - at], columns]
+        return self.kinds[kind]
 
     def search(self, query: np.ndarray, own: int, k: int, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """The k best of earlier results and this block, and how many lists' entries were read."""
-        q = query.astype(np.float64) if self.double else query
-        up = q > 0
-        bounds = np.where(up, self.high, self.low) @ q
-        used = np.flatnonzero(q)
-        seen = np.zeros(len(self.ids), dtype=bool)
-        seen[self.ids == own] = True
+        """The k best of earlier results and this block, and how many entries of each list were read."""
+        most = float(np.abs(query).max(initial=0)) * self.largest * len(query)
+        kind = "double" if most < 2**52 else "long" if most < 2**62 and max(self.largest, np.abs(query).max()) < 2**62 else "any"
+        x, low, high = self._as(kind)
+        q = {"double": lambda: query, "long": lambda: query.astype(np.int64), "any": lambda: integers(query)}[kind]()
+        up = query > 0
+        bounds = np.where(up, high, low) @ q
+        used = np.flatnonzero(query)
+        seen = self.ids == own
         n = len(self.ids)
         for step, (a, b) in enumerate(zip(self.depths[:-1], self.depths[1:])):
             if len(scores) == k and bounds[step] < scores[-1]:
                 return scores, ids, a
-            if not len(used) or len(used) * b >= n:  # no list to read, or they now cover nearly everything: the rest at once
-                fresh = ~seen
-            else:
-                fresh = np.zeros(n, dtype=bool)
-                fresh[self.lists[n - b : n - a, used[up[used]]].ravel()] = True
-                fresh[self.lists[a:b, used[~up[used]]].ravel()] = True
-                fresh &= ~seen
+            fresh = np.zeros(n, dtype=bool)
+            fresh[self.lists[n - b : n - a, used[up[used]]].ravel()] = True
+            fresh[self.lists[a:b, used[~up[used]]].ravel()] = True
+            if not len(used):  # every score is 0: one list in any order tells them all
+                fresh[self.lists[a:b, 0]] = True
+            fresh &= ~seen
             rows = np.flatnonzero(fresh)
-            seen |= fresh
+            seen = seen | fresh
             if len(rows):
-                found = (self.x[rows] @ q).astype(np.int64)
+                found = x[rows] @ q
+                found = np.array([min(max(v, -LONGEST - 1), LONGEST) for v in found.tolist()] if kind == "any" else found, dtype=np.int64)
                 if len(scores) == k:
                     better = found >= scores[-1]
                     rows, found = rows[better], found[better]
@@ -96,7 +116,7 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
         cut = np.partition(scores, len(scores) - k)[len(scores) - k]
         keep = scores >= cut
         scores, ids = scores[keep], ids[keep]
-    order = np.lexsort((ids, -scores))[:k]
+    order = np.lexsort((ids, ~scores))[:k]
     return scores[order], ids[order]
 
 
@@ -108,7 +128,7 @@ def search(
     every = embeddings.select(
         F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")
     )
-    rows = every.filter(usable("v", nonzero=False)).withColumn("dims", F.size("v"))
+    rows = every.filter(usable("v", nonzero=False) & F.col("id").isNotNull()).withColumn("dims", F.size("v"))
     sizes = scratch.save(
         rows.groupBy("dims")
         .agg(F.count("*").alias("n"), F.count_if("asks").alias("q"))
@@ -117,7 +137,7 @@ def search(
     )
     sized = rows.join(sizes, F.col("dims") == F.col("d"))
     head = F.col("dims").cast("long") * (1 << 32)
-    floor = lambda v: np.floor(scale * v)
+    floor = lambda v: np.floor(np.clip(v, -1e308 / scale, 1e308 / scale) * scale)
     lists = lambda data: sorted_lists(data).tobytes()
     candidates = scratch.save(pack(sized.withColumn("key", head + F.pmod(F.xxhash64("id"), F.col("blocks"))), "key", floor, "<f8", lists), "candidates")
     asking = pack(sized.filter("asks").withColumn("key", head + F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))), "key", floor, "<f8")
@@ -141,7 +161,6 @@ def search(
         if members[0]["kind"] != 0:
             return RESULT.empty_table()
         asks, x = unpack(members[0]["ids"], members[0]["data"], members[0]["n"], "<f8")
-        x = x.astype(np.int64)
         empty = np.empty(0, dtype=np.int64)
         results = [(empty, empty)] * len(asks)
         for r in members[1:]:
@@ -149,9 +168,7 @@ def search(
             block = Block(ids, values, np.frombuffer(r["index"], dtype=np.int32).reshape(r["n"], -1))
             results = [block.search(x[i], int(asks[i]), k, *results[i])[:2] for i in range(len(asks))]
         who = np.repeat(asks, [len(s) for s, _ in results])
-        return pa.Table.from_arrays(
-            [pa.array(who), pa.array(np.concatenate([i for _, i in results])), pa.array(np.concatenate([s for s, _ in results]))], schema=RESULT
-        )
+        return pa.Table.from_arrays([pa.array(who), *(pa.array(np.concatenate([r[part] for r in results])) for part in (1, 0))], schema=RESULT)
 
     found = q.unionByName(c).groupBy("dims", "part", "group").applyInArrow(compare, "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
