@@ -2,18 +2,23 @@
 
 Everything runs as DataFrame functions.  URLs that a rule decides are the
 labelled ones; a bounded sample of them (``sample_rows``, those of lowest hash)
-trains the trees, and a tree is a nested CASE expression, so judging all URLs is
-one map-only pass without a join.  Training grows one level of a tree per
-aggregation: gradients are summed by (node, feature, bin) and only the best
-split of every node comes to the driver.
+trains the trees, and a tree is a nested CASE expression.  Every suffix of the
+sample has its rate in a table of at most four rows a sampled URL, which is
+broadcast, so judging all URLs is one map-only pass.  Features are binned once;
+training then grows one level of a tree per aggregation: gradients are summed by
+(node, feature, bin), and those sums, of which there are never more than nodes
+times features times bins, come to the driver, which takes the best splits.
 
 Features: lengths, path depth, digit ratio, character entropy, number of query
-parameters, host labels, hyphens, and how often the host's and the file's suffix
-are blocked among the labelled URLs (the commonest ``suffixes`` of each).
+parameters, host labels, hyphens, and how often URLs with the same suffix are
+blocked: the host's last label, its last two labels, the path's last folder and
+the file's suffix.  A sampled URL gets its rates from the other folds of the
+sample, so that the trees do not trust a suffix for what they see of it here.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and is judged by the trees; without labelled URLs everything is allowed, and
-with one class only everything gets that class.
+with one class only everything gets that class; rows that repeat a page_id are
+judged each; an empty table gives an empty table; other columns are never read.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerline.sources.scratch import Scratch
 
@@ -37,8 +42,12 @@ FEATURES = (
     "f_parameters",
     "f_hyphens",
     "f_host_suffix",
+    "f_domain",
+    "f_folder",
     "f_file_suffix",
 )
+SUFFIXES = FEATURES[-4:]
+FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -96,32 +105,34 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _suffixes(host: Column, path: Column) -> tuple[Column, Column]:
-    return F.substring_index(host, ".", -1), F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)
+def suffixes(host: Column, path: Column) -> dict[str, Column]:
+    """The suffixes whose rates are features, by feature; empty where there is none."""
+    return {
+        "f_host_suffix": F.substring_index(host, ".", -1),
+        "f_domain": F.substring_index(host, ".", -2),
+        "f_folder": F.regexp_extract(path, r"(?s)([^/]+)/[^/]*$", 1),
+        "f_file_suffix": F.regexp_extract(path, r"(?s)\.([^./]+)$", 1),
+    }
 
 
 @dataclass
 class Trees:
-    """Boosted trees as one expression over the features, and the tables it needs."""
+    """Boosted trees as one expression over the features, and the rates (kind, key, rate) of suffixes."""
 
     prior: float
-    hosts: dict[str, float]
-    files: dict[str, float]
+    rates: DataFrame
     trees: list[dict]
 
-    def _lookup(self, key: Column, known: dict[str, float]) -> Column:
+    def with_features(self, parts: DataFrame) -> DataFrame:
+        """``parts`` (url, host, path, ...) and all features; a suffix without a rate has that of all URLs."""
+        url, host, path = F.col("url"), F.col("host"), F.col("path")
         rest = 1 / (1 + math.exp(-self.prior))
-        if not known:
-            return F.lit(rest)
-        table = F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair])
-        return F.coalesce(F.element_at(table, key), F.lit(rest))
-
-    def features(self, url: Column, host: Column, path: Column) -> dict[str, Column]:
-        host_suffix, file_suffix = _suffixes(host, path)
-        return lexical(url, host, path) | {
-            "f_host_suffix": self._lookup(host_suffix, self.hosts),
-            "f_file_suffix": self._lookup(file_suffix, self.files),
-        }
+        found = parts.select("*", *[c.alias(k) for k, c in lexical(url, host, path).items()])
+        for kind, suffix in suffixes(host, path).items():
+            own = self.rates.filter(F.col("kind") == kind).select(F.col("key").alias(f"__{kind}"), F.col("rate").alias(kind))
+            found = found.join(F.broadcast(own), suffix == F.col(f"__{kind}"), "left").drop(f"__{kind}")
+            found = found.withColumn(kind, F.coalesce(kind, F.lit(rest)))
+        return found
 
     def margin(self) -> Column:
         """Log-odds of block, over columns that carry the features."""
@@ -137,12 +148,12 @@ def tree_value(tree: dict) -> Column:
     return F.when(F.col(tree["feature"]) <= tree["cut"], tree_value(tree["low"])).otherwise(tree_value(tree["high"]))
 
 
-def _node_number(tree: dict, number: int = 1) -> Column:
-    """Which leaf a row falls into; children of node k are 2k and 2k + 1."""
+def _binned(tree: dict, leaf, number: int = 1) -> Column:
+    """``leaf`` (leaf, number) of the leaf that a row's bins fall into; children of node k are 2k and 2k + 1."""
     if "value" in tree:
-        return F.lit(number)
-    inner = F.when(F.col(tree["feature"]) <= tree["cut"], _node_number(tree["low"], 2 * number))
-    return inner.otherwise(_node_number(tree["high"], 2 * number + 1))
+        return leaf(tree, number)
+    goes_low = F.get("bins", F.lit(FEATURES.index(tree["feature"]))) <= tree["bin"]
+    return F.when(goes_low, _binned(tree["low"], leaf, 2 * number)).otherwise(_binned(tree["high"], leaf, 2 * number + 1))
 
 
 def _leaf(tree: dict, number: int) -> dict:
@@ -151,16 +162,34 @@ def _leaf(tree: dict, number: int) -> dict:
     return tree
 
 
-def _suffix_rates(sample: DataFrame, column: str, prior_rate: float, most: int) -> dict[str, float]:
-    counted = sample.groupBy(column).agg(F.count("*").alias("n"), F.sum("y").alias("blocked")).orderBy(F.desc("n"), column).limit(most)
-    return {r[column]: (r["blocked"] + 10 * prior_rate) / (r["n"] + 10) for r in counted.collect()}
+def _rate(blocked: Column, n: Column, share: float) -> Column:
+    return (blocked + 10 * share) / (n + 10)
+
+
+def best_split(sums: dict[tuple[int, int], tuple[float, float]], cuts: dict[str, list[float]], smoothing: float) -> tuple | None:
+    """(feature, bin, sums below, sums of all) of the largest gain; ``sums`` (g, h) are by (feature, bin).
+
+    Gains are compared to six digits; ties go to the first feature and the lowest bin.
+    """
+    gain = lambda g, h: g * g / (h + smoothing)
+    found = None
+    for k, feature in enumerate(FEATURES):
+        total_g = sum(g for (f, _), (g, _) in sums.items() if f == k)
+        total_h = sum(h for (f, _), (_, h) in sums.items() if f == k)
+        low_g = low_h = 0.0
+        for at in range(len(cuts[feature])):
+            g, h = sums.get((k, at), (0.0, 0.0))
+            low_g, low_h = low_g + g, low_h + h
+            won = round(gain(low_g, low_h) + gain(total_g - low_g, total_h - low_h) - gain(total_g, total_h), 6)
+            if won > (found[0] if found else 0.0):
+                found = (won, feature, at, (low_g, low_h), (total_g, total_h))
+    return found[1:] if found else None
 
 
 def train(
     spark: SparkSession,
     labelled: DataFrame,
     sample_rows: int = 20_000,
-    suffixes: int = 200,
     rounds: int = 12,
     depth: int = 2,
     bins: int = 16,
@@ -170,50 +199,62 @@ def train(
     """Trees from ``labelled`` (url, host, path, y: 1 for block); None without rows."""
     scratch = Scratch(spark, "urls")
     chosen = labelled.orderBy(F.xxhash64("url", "host", "y"), "url", "y").limit(sample_rows)
-    host_suffix, file_suffix = _suffixes(F.col("host"), F.col("path"))
-    sample = scratch.save(chosen.select("url", "host", "path", "y", host_suffix.alias("hs"), file_suffix.alias("fs")), "sample")
+    fold = F.pmod(F.xxhash64("url", "host", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    sample = scratch.save(chosen.select("url", "host", "path", "y", fold.alias("fold")), "sample")
     n, ones = sample.agg(F.count("*"), F.sum("y")).first()
     if not n:
         return None
     share = min(max(ones / n, 1e-4), 1 - 1e-4)
-    model = Trees(math.log(share / (1 - share)), _suffix_rates(sample, "hs", share, suffixes), _suffix_rates(sample, "fs", share, suffixes), [])
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in suffixes(F.col("host"), F.col("path")).items()]))
+    by_fold = scratch.save(
+        sample.select("y", "fold", keys.alias("s")).groupBy("s.kind", "s.key", "fold").agg(F.sum("y").alias("b"), F.count("*").alias("n")), "folds"
+    )
+    whole = by_fold.groupBy("kind", "key").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
+    rates = scratch.save(whole.select("kind", "key", _rate(F.col("b"), F.col("n"), share).alias("rate")), "rates")
+    model = Trees(math.log(share / (1 - share)), rates, [])
     if ones in (0, n):
         return model
-    own = model.features(F.col("url"), F.col("host"), F.col("path"))
-    sample = scratch.save(sample.select("y", *[c.alias(k) for k, c in own.items()]), "features")
+
+    # a sampled URL's own rates: of the other folds
+    apart = by_fold.alias("f").join(whole.alias("w"), (F.col("f.kind") == F.col("w.kind")) & (F.col("f.key") == F.col("w.key")))
+    others = scratch.save(
+        apart.select("f.kind", "f.key", "f.fold", _rate(F.col("w.b") - F.col("f.b"), F.col("w.n") - F.col("f.n"), share).alias("rate")), "others"
+    )
+    url, host, path = F.col("url"), F.col("host"), F.col("path")
+    featured = sample.select("y", "fold", "host", "path", *[c.alias(k) for k, c in lexical(url, host, path).items()])
+    for kind, suffix in suffixes(host, path).items():
+        own = others.filter(F.col("kind") == kind).select(F.col("key").alias("__key"), F.col("fold").alias("__fold"), F.col("rate").alias(kind))
+        featured = featured.join(F.broadcast(own), (suffix == F.col("__key")) & (F.col("fold") == F.col("__fold"))).drop("__key", "__fold")
+    featured = scratch.save(featured.select("y", *FEATURES), "features")
     at = [k / bins for k in range(1, bins)]
-    cuts = sample.agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in FEATURES]).first()
-    cuts = {f: sorted(set(cuts[f])) for f in FEATURES}
-    cuts_of = F.array(*[F.array(*[F.lit(float(c)) for c in cuts[f]]) for f in FEATURES])
-    values = F.explode(F.arrays_zip(F.array(*[F.lit(k) for k in range(len(FEATURES))]).alias("k"), F.array(*FEATURES).alias("v"), cuts_of.alias("c")))
+    found = featured.agg(*[F.percentile_approx(f, at, 10_000).alias(f) for f in FEATURES]).first()
+    cuts = {f: sorted(set(found[f])) for f in FEATURES}
+    # a bin's number is how many cuts lie below the value
+    number = lambda f: sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cuts[f]), F.lit(0))
+    rows = scratch.save(featured.select("y", F.array(*[number(f) for f in FEATURES]).alias("bins")), "bins")
     for _ in range(rounds):
         tree: dict = {"value": 0.0}
-        p = 1 / (1 + F.exp(-model.margin()))
-        graded = sample.select(*FEATURES, (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"))
+        margin = F.lit(model.prior)
+        for earlier in model.trees:
+            margin = margin + _binned(earlier, lambda leaf, _: F.lit(float(leaf["value"])))
+        p = 1 / (1 + F.exp(-margin))
         for level in range(depth):
-            rows = graded.select(_node_number(tree).alias("node"), "g", "h", values.alias("x"))
-            rows = rows.filter(F.col("node") >= 1 << level)
-            # a bin's number is how many cuts lie below the value
-            bin_of = F.size(F.filter(F.col("x.c"), lambda c: c < F.col("x.v")))
-            sums = rows.groupBy("node", F.col("x.k").alias("k"), bin_of.alias("bin")).agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-            upto = W.partitionBy("node", "k").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-            whole = W.partitionBy("node", "k")
-            gain = lambda g, h: g * g / (h + smoothing)
-            split = (
-                sums.select("node", "k", "bin", F.sum("g").over(upto).alias("gl"), F.sum("h").over(upto).alias("hl"), F.sum("g").over(whole).alias("gt"), F.sum("h").over(whole).alias("ht"))
-                .withColumn("gain", F.round(gain(F.col("gl"), F.col("hl")) + gain(F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")) - gain(F.col("gt"), F.col("ht")), 6))
-                .groupBy("node")
-                .agg(F.max(F.struct("gain", (-F.col("k")).alias("k"), (-F.col("bin")).alias("bin"), "gl", "hl", "gt", "ht")).alias("s"))
-            )
-            for node, s in sorted((r["node"], r["s"]) for r in split.collect()):
-                leaf, feature = _leaf(tree, node), FEATURES[-s["k"]]
-                if s["gain"] <= 0 or -s["bin"] >= len(cuts[feature]):
-                    leaf["value"] = rate * s["gt"] / (s["ht"] + smoothing)
+            graded = rows.select(_binned(tree, lambda _, number: F.lit(number)).alias("node"), (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"), "bins")
+            each = graded.filter(F.col("node") >= 1 << level).select("node", "g", "h", F.posexplode("bins").alias("k", "bin"))
+            sums: dict[int, dict] = {}
+            for r in each.groupBy("node", "k", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).orderBy("node", "k", "bin").collect():
+                sums.setdefault(r["node"], {})[r["k"], r["bin"]] = (r["g"], r["h"])
+            for node, own in sorted(sums.items()):
+                leaf, split = _leaf(tree, node), best_split(own, cuts, smoothing)
+                if split is None:
+                    g, h = (sum(x[i] for (k, _), x in own.items() if k == 0) for i in (0, 1))
+                    leaf["value"] = rate * g / (h + smoothing)
                     continue
+                feature, cut, (gl, hl), (gt, ht) = split
                 leaf.clear()
-                leaf |= {"feature": feature, "cut": cuts[feature][-s["bin"]]}
-                leaf["low"] = {"value": rate * s["gl"] / (s["hl"] + smoothing)}
-                leaf["high"] = {"value": rate * (s["gt"] - s["gl"]) / (s["ht"] - s["hl"] + smoothing)}
+                leaf |= {"feature": feature, "bin": cut, "cut": cuts[feature][cut]}
+                leaf["low"] = {"value": rate * gl / (hl + smoothing)}
+                leaf["high"] = {"value": rate * (gt - gl) / (ht - hl + smoothing)}
         model.trees.append(tree)
     return model
 
@@ -229,8 +270,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[Rule], **training)
     if model is None:
         margin, featured = F.lit(-1.0), ruled
     else:
-        featured = ruled.select("*", *[c.alias(k) for k, c in model.features(F.col("url"), F.col("host"), F.col("path")).items()])
-        margin = model.margin()
+        featured, margin = model.with_features(ruled), model.margin()
     return featured.select(
         "page_id",
         "host",
