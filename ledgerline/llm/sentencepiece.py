@@ -10,6 +10,11 @@ until no word has a pair left.  Taking all occurrences at once equals the
 one-at-a-time order only if no piece outranks or ties a part of it; for the few
 parts where one does, a round merges the leftmost occurrence alone.
 
+A word of more than ``LONG`` characters has no border that would end its rounds
+soon, as in a run of blanks or a text without spaces, where each round would go
+over the whole word again.  Such a word is merged with a heap of its pairs, by
+the same ranks, in time that grows with its length; both ways give the same ids.
+
 Symbols that are no piece fall back to byte pieces, or to the unknown id.
 Identity-normalised BPE models are supported; others raise ValueError.
 
@@ -19,6 +24,7 @@ decodes to an empty text.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 SPACE = "▁"
 _WORDS = re.compile(f"\n+|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 NEVER = np.int32(2**31 - 1)
+LONG = 512
 
 
 @dataclass
@@ -73,6 +80,7 @@ class Codec:
         v = vocabulary
         self.vocabulary, self.cache_words = v, cache_words
         self.cache: dict[str, bytes] = {}
+        self.by_pair: dict[int, tuple[int, int]] | None = None
         normal = {p: i for i, p in enumerate(v.pieces) if v.kinds[i] == "normal"}
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in normal):
             raise ValueError("a piece crosses a word border")
@@ -126,6 +134,15 @@ class Codec:
 
     def merge(self, words: list[str]) -> list[bytes]:
         """The ids of each word (non-empty, in space symbols) as int32 bytes, all words at once."""
+        long = [k for k, w in enumerate(words) if len(w) > LONG]
+        if long:
+            out = [b""] * len(words)
+            short = [k for k, w in enumerate(words) if len(w) <= LONG]
+            for k, ids in zip(short, self.merge([words[k] for k in short])):
+                out[k] = ids
+            for k in long:
+                out[k] = self._merge_long(words[k])
+            return out
         if not words:
             return []
         symbols = self.by_char[np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)]
@@ -171,6 +188,40 @@ class Codec:
             out[w] = np.array([i for s in own for i in ([s] if s < self.count else self._fallback(s))], dtype=np.int32).tobytes()
         return out
 
+    def _merge_long(self, word: str) -> bytes:
+        """``merge`` of one word: pairs leave a heap by rank, then from the left; a pair that has changed since is passed over."""
+        if self.by_pair is None:
+            self.by_pair = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+        by_pair, width = self.by_pair, self.width
+        symbols = self.by_char[np.frombuffer(word.encode("utf-32-le"), dtype=np.uint32)].tolist()
+        n = len(symbols)
+        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+        for i in range(n - 1):
+            found = by_pair.get(symbols[i] * width + symbols[i + 1])
+            if found:
+                heap.append((found[0], i, symbols[i], symbols[i + 1]))
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = following[i]
+            if symbols[i] != left or j >= n or symbols[j] != right:
+                continue
+            symbols[i], symbols[j] = by_pair[left * width + right][1], -1
+            k = following[i] = following[j]
+            if k < n:
+                before[k] = i
+                found = by_pair.get(symbols[i] * width + symbols[k])
+                if found:
+                    heapq.heappush(heap, (found[0], i, symbols[i], symbols[k]))
+            h = before[i]
+            if h >= 0:
+                found = by_pair.get(symbols[h] * width + symbols[i])
+                if found:
+                    heapq.heappush(heap, (found[0], h, symbols[h], symbols[i]))
+        ids = [x for s in symbols if s >= 0 for x in ([s] if s < self.count else self._fallback(s))]
+        return np.array(ids, dtype=np.int32).tobytes()
+
     def _fallback(self, symbol: int) -> list[int]:
         raw = chr(symbol - self.count).encode()
         return [self.bytes[x] for x in raw] if all(x in self.bytes for x in raw) else [self.unknown]
@@ -183,9 +234,12 @@ class Codec:
             self.cache.clear()
         cache = self.cache
         new = list({w for words in split for w in words if w not in cache})
+        once: dict[str, bytes] = {}  # long words are not kept
         for a, b in _slices(new, 1 << 18):
-            cache.update(zip(new[a:b], self.merge(new[a:b])))
-        return [np.frombuffer(b"".join(map(cache.__getitem__, words)), dtype=np.int32) for words in split]
+            for w, ids in zip(new[a:b], self.merge(new[a:b])):
+                (once if len(w) > LONG else cache)[w] = ids
+        known = lambda w: once[w] if w in once else cache[w]
+        return [np.frombuffer(b"".join(map(known if once else cache.__getitem__, words)), dtype=np.int32) for words in split]
 
     # decoding
 
