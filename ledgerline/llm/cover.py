@@ -21,7 +21,9 @@ task's share constant.
 
 Defined results: null, zero, or non-finite vectors link with nothing; vectors of
 different lengths never link; rows that repeat a vec_id are one vertex with the
-links of all of them.
+links of all of them; rows without a vec_id link with nothing, have no component
+and are not kept; a pair at the threshold itself, as far as double precision
+tells, links; an empty table gives an empty table; other columns are never read.
 """
 
 from __future__ import annotations
@@ -298,7 +300,7 @@ def near_duplicates(spark: SparkSession, embeddings: DataFrame, cosine: float =
     """``embeddings`` (vec_id, embedding) to (vec_id, n_links, component_id, kept)."""
     scratch = Scratch(spark, "cover")
     every = embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = every.filter(usable("v", nonzero=True)).withColumn("dims", F.size("v"))
+    rows = every.filter(usable("v", nonzero=True) & F.col("id").isNotNull()).withColumn("dims", F.size("v"))
     sizes = scratch.save(rows.groupBy("dims").agg(F.count("*").alias("n")).select(F.col("dims").alias("d"), F.ceil(F.col("n") / block_rows).cast("long").alias("blocks")), "sizes")
     dealt = rows.join(sizes, F.col("dims") == F.col("d")).withColumn("key", F.col("dims").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("blocks")))
     index = lambda data: pickle.dumps(cover_tree(data, float(np.sqrt(2 - 2 * cosine))))
@@ -334,6 +336,6 @@ def near_duplicates(spark: SparkSession, embeddings: DataFrame, cosine: float =
             F.col("id").alias("vec_id"),
             F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
             F.coalesce("component", "id").alias("component_id"),
-            (F.coalesce("component", "id") == F.col("id")).alias("kept"),
+            F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(False)).alias("kept"),
         )
     )
