@@ -1,8 +1,8 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Tokens are word stems: the beginnings of a word of ``shortest`` to ``longest``
-characters in lower case, so that inflected and derived forms share their
-evidence; a word scores as its longest stem with a score.  A stem's score is its
+Tokens are words in lower case and their stems, the beginnings of ``shortest`` to
+``longest`` characters, so that inflected and derived forms share their
+evidence; a word scores as itself or else as its longest stem with a score.  A stem's score is its
 log-odds between toxic and clean labelled documents under an informative
 Dirichlet prior, shrunk to zero unless it is significant, less a drift that
 makes clean text fall.  A linear scan finds every maximal-scoring segment of a
@@ -13,7 +13,7 @@ tail probability is at most ``alpha`` are the toxic passages; their excess bits
 over ln(K n), added up, are calibrated to a probability.
 
 Sample bound: ``per_class`` documents of each label, near copies thinned to one
-by a shingle sketch, and ``max_tokens`` tokens in the model.
+by a shingle sketch.  All significant tokens of the sample are in the model.
 
 Defined results: a null or empty text has no segment and scores what calibration
 gives to none; with labels of one class only every text gets that class.
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerline.llm.labelled import fit_logistic, fold, labelled_sample, sigmoid
 from ledgerline.sources.scratch import Scratch
@@ -56,6 +56,8 @@ class Model:
         """Score of the longest stem that has one; most words are settled by their first characters."""
         if word[: self.shortest] not in self.heads:
             return None
+        if len(word) > self.longest and (score := self.scores.get(word)) is not None:
+            return score
         for n in range(min(len(word), self.longest), self.shortest - 1, -1):
             if (score := self.scores.get(word[:n])) is not None:
                 return score
@@ -63,10 +65,9 @@ class Model:
 
 
 def stems(words: list[str], shortest: int, longest: int) -> set[str]:
-    """Every stem of some words; a shorter word is its own."""
+    """Some words and every stem of theirs."""
     found = set(words)
-    short = {w for w in found if len(w) <= shortest}
-    return short | {w[:n] for w in found for n in range(shortest, min(len(w), longest) + 1)}
+    return found | {w[:n] for w in found for n in range(shortest, min(len(w), longest) + 1)}
 
 
 def maximal_segments(places: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
@@ -135,17 +136,12 @@ def _sketch(words: list[str]) -> int:
     return min(xxh3_64_intdigest(g) for g in grams) - (1 << 63)
 
 
-def token_scores(counts: list, toxic: int, clean: int, significant: float, prior: float) -> dict[str, float]:
-    """Log-odds of each token (token, toxic documents, clean documents) that are significant."""
-    scores = {}
-    for token, a, b in counts:
-        background = prior * (a + b) / (toxic + clean)
-        odds_a = (a + background) / (toxic + prior - a - background)
-        odds_b = (b + background) / (clean + prior - b - background)
-        delta = math.log(odds_a / odds_b)
-        if abs(delta) >= significant * math.sqrt(1 / (a + background) + 1 / (b + background)):
-            scores[token] = delta
-    return scores
+def log_odds(toxic: int, clean: int, prior: float) -> tuple[Column, Column]:
+    """(log-odds, standard error) of a token in ``a`` toxic and ``b`` clean documents of so many."""
+    background = F.lit(prior) * (F.col("a") + F.col("b")) / (toxic + clean)
+    odds = lambda n, of: (n + background) / (of + prior - n - background)
+    delta = F.log(odds(F.col("a"), toxic) / odds(F.col("b"), clean))
+    return delta, F.sqrt(1 / (F.col("a") + background) + 1 / (F.col("b") + background))
 
 
 def _positive_root(values: np.ndarray, weights: np.ndarray) -> float:
@@ -169,7 +165,6 @@ def train(
     per_class: int = 3000,
     shortest: int = 3,
     longest: int = 12,
-    max_tokens: int = 50_000,
     significant: float = 3.0,
     prior: float = 100.0,
     alpha: float = 0.01,
@@ -201,8 +196,9 @@ def train(
     if not toxic or not clean:
         return Model(shortest, longest, {}, 0.5, intercept=30.0 if toxic else -30.0 if clean else 0.0)
     counts = sample.mapInArrow(count, "token string, a long, b long").groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    kept = counts.filter("a + b >= 3").orderBy(F.desc(F.abs(F.col("a") / toxic - F.col("b") / clean)), "token").limit(max_tokens)
-    scores = token_scores([tuple(r) for r in kept.collect()], toxic, clean, significant, prior)
+    delta, error = log_odds(toxic, clean, prior)
+    scored = counts.select("token", delta.alias("delta"), error.alias("error")).filter(F.abs("delta") >= significant * F.col("error"))
+    scores = dict(sorted((r["token"], r["delta"]) for r in scored.collect()))
     model = Model(shortest, longest, scores, 0.0, alpha=alpha)
 
     # how often clean text shows each score
@@ -239,7 +235,7 @@ def train(
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([excess(t.as_py(), model) for t in batch.column(0)], pa.float64())], names=["y", "x"])
 
-    pairs = sample.mapInArrow(calibrate, "y int, x double").orderBy("y", "x").collect()
+    pairs = sorted(sample.mapInArrow(calibrate, "y int, x double").collect(), key=lambda r: (r["y"], r["x"]))
     found, model.intercept = fit_logistic(np.array([r["x"] for r in pairs]), np.array([r["y"] for r in pairs]), ridge=1e-3)
     model.weight = float(found[0])
     return model
