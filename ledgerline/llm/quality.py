@@ -3,13 +3,14 @@
 Two zstandard dictionaries are built, one from good and one from bad labelled
 text.  A text is compressed with both in blocks of ``block`` bytes, so that its
 end counts like its beginning, and the sizes are summed over the whole text.
-The normalised difference (good - bad) / larger is the evidence; together with
-the logarithm of the smaller size over the length, which is extreme where a text
-repeats itself and both dictionaries are idle, it is calibrated to a probability
-of label 1 by logistic regression on labelled documents that built no dictionary.
+The normalised difference (good - bad) / larger is the evidence, and nothing else;
+it is calibrated to a probability of label 1 by logistic regression on labelled
+documents that built no dictionary.
 
 Sample bound: ``per_class`` documents of each label; half build the
-dictionaries, with at most ``blocks_per_document`` blocks each, half calibrate.
+dictionaries, of ``dictionary`` bytes each, from at most ``blocks_per_document``
+blocks of each document, half calibrate.  Where the blocks are too few to train
+a dictionary from, they are one themselves, as raw content.
 
 Defined results: a null or empty text has no evidence and scores what
 calibration gives to none; with labels of one class only every text gets that
@@ -38,7 +39,7 @@ class Model:
     bad: bytes
     level: int
     block: int
-    weights: tuple[float, ...] = ()
+    weight: float = 0.0
     intercept: float = 0.0
 
 
@@ -56,17 +57,17 @@ class Scorer:
             trained.precompute_compress(level=model.level)
             self.compressors.append(zstandard.ZstdCompressor(dict_data=trained, **options))
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """Normalised size difference, and the logarithm of the smaller size over the length."""
+    def evidence(self, text: str | None) -> float:
+        """Normalised size difference."""
         raw = text.encode() if text else b""
         if not raw:
-            return 0.0, 0.0
+            return 0.0
         good = bad = 0
         for a in range(0, len(raw), self.model.block):
             part = raw[a : a + self.model.block]
             good += len(self.compressors[0].compress(part))
             bad += len(self.compressors[1].compress(part))
-        return (good - bad) / max(good, bad), float(np.log((min(good, bad) + 1) / (len(raw) + 1)))
+        return (good - bad) / max(good, bad)
 
 
 def _blocks(text: str | None, size: int, most: int) -> list[bytes]:
@@ -99,11 +100,11 @@ def train(
             rows = [(y, b) for t, y in zip(batch.column(0), batch.column(1).to_pylist()) for b in _blocks(t.as_py(), block, blocks_per_document)]
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["y", "b"])
 
-    pieces = sample.filter("half = 0").select("text", "y").mapInArrow(cut, "y int, b binary").orderBy("y", F.xxhash64("b"), "b").collect()
+    pieces = sample.filter("half = 0").select("text", "y").mapInArrow(cut, "y int, b binary").select("y", "b", F.xxhash64("b").alias("h")).collect()
     built = []
-    for y in (1, 0):
-        own = [bytes(r["b"]) for r in pieces if r["y"] == y and len(r["b"]) >= 16]
-        built.append(_dictionary(own, dictionary, level))
+    for y in (1, 0):  # the bounded sample is put in an order that no partition decides
+        own = sorted((r["h"], bytes(r["b"])) for r in pieces if r["y"] == y and len(r["b"]) >= 16)
+        built.append(_dictionary([b for _, b in own], dictionary, level))
     model = Model(built[0], built[1], level, block)
 
     shared = spark.sparkContext.broadcast(model)
@@ -112,11 +113,11 @@ def train(
         scorer = Scorer(shared.value)
         for batch in batches:
             found = [scorer.evidence(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)]], names=["y", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.float64())], names=["y", "x"])
 
-    rows = sample.filter("half = 1").select("text", "y").mapInArrow(weigh, "y int, a double, b double").orderBy("y", "a", "b").collect()
-    weights, intercept = fit_logistic(np.array([(r["a"], r["b"]) for r in rows]).reshape(-1, 2), np.array([r["y"] for r in rows]))
-    model.weights, model.intercept = tuple(weights.tolist()), intercept
+    rows = sorted(tuple(r) for r in sample.filter("half = 1").select("text", "y").mapInArrow(weigh, "y int, x double").collect())
+    weights, model.intercept = fit_logistic(np.array([x for _, x in rows]), np.array([y for y, _ in rows]))
+    model.weight = float(weights[0])
     return model
 
 
@@ -138,10 +139,10 @@ def score(spark: SparkSession, documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        weights, intercept = np.array(shared.value.weights), shared.value.intercept
         for batch in batches:
-            found = np.array([scorer.evidence(t.as_py()) for t in batch.column(1)]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(found @ weights + intercept))], names=["doc_id", "score"])
+            found = np.array([scorer.evidence(t.as_py()) for t in batch.column(1)], dtype=float)
+            scores = sigmoid(found * scorer.model.weight + scorer.model.intercept)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t"))
     return rows.mapInArrow(run, "doc_id long, score double")
@@ -153,10 +154,9 @@ def score_column(spark: SparkSession, model: Model):
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
-        weights, intercept = np.array(shared.value.weights), shared.value.intercept
         for part in parts:
-            found = np.array([scorer.evidence(t) for t in part]).reshape(-1, 2)
-            yield pd.Series(sigmoid(found @ weights + intercept), dtype=float)
+            found = np.array([scorer.evidence(t) for t in part], dtype=float)
+            yield pd.Series(sigmoid(found * scorer.model.weight + scorer.model.intercept), dtype=float)
 
     return F.pandas_udf(run, "double")
 

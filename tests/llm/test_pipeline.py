@@ -50,12 +50,12 @@ def test_quality_stage(spark, steps, labels):
 
     def keep(r) -> bool:
         raw = (r.text or "").encode()
-        x = (0.0, 0.0)
+        x = 0.0
         if raw:
             parts = [raw[a : a + model.block] for a in range(0, len(raw), model.block)]
             good, bad = (sum(len(zstandard.ZstdCompressor(dict_data=book, **options).compress(p)) for p in parts) for book in books)
-            x = (good - bad) / max(good, bad), math.log((min(good, bad) + 1) / (len(raw) + 1))
-        return 1 / (1 + math.exp(-(x[0] * model.weights[0] + x[1] * model.weights[1] + model.intercept))) >= 0.3
+            x = (good - bad) / max(good, bad)
+        return 1 / (1 + math.exp(-(x * model.weight + model.intercept))) >= 0.3
 
     assert rows(made) == kept_by(docs, keep)
     assert 0 < made.count() < docs.count()
