@@ -12,8 +12,10 @@ Rates become copies class by class.  Cumulative rounding along the sizes keeps
 the copies of a source within half a copy of its rates at every length; what
 the words still miss is then made up by its shortest documents, so the words
 taken come within about one short document of the target.  Inside a class the
-documents that get one copy more are those of lowest hash, ranked in salted
-groups whose offsets come from their counts: no group is ever gathered.
+documents that get one copy more are those of lowest salt and hash, ranked in salted
+groups whose offsets come from their counts.  The number of salts grows with the
+documents, so a salted group of even the largest class has about ``salt_rows``
+rows: no class is ever gathered.
 
 Defined results: null texts count zero words; sources are ordered by code point
 with null last; documents of no words take nothing; an empty table gives an
@@ -102,7 +104,7 @@ def balance(scratch: Scratch, classes: DataFrame, targets: DataFrame, max_repeat
         inner = state.withColumnRenamed("source", "s")
         fit = (
             classes.filter("size > 0")
-            .join(F.broadcast(inner) if False else inner, _same("source", "s"))
+            .join(inner, _same("source", "s"))
             .withColumn("x", F.col("size") / F.col("mean"))
             .withColumn("words", F.col("n") * F.col("size") * _tilt(max_repeats))
             .withColumn("slope", F.when(F.col("lam") * F.col("x") < top, F.col("words") * F.col("x")).otherwise(0.0))
@@ -173,6 +175,7 @@ def mix(
     tolerance: float = 1e-7,
     rounds: int = 100,
     row: str | None = None,
+    salt_rows: int = 10_000,
 ) -> DataFrame:
     """``documents`` (doc_id, text, source) to (doc_id, source, size, source_size, target, copies, taken).
 
@@ -192,8 +195,10 @@ def mix(
     multipliers = balance(scratch, classes, targets, max_repeats, tolerance, rounds)
     copies = scratch.save(class_copies(classes, targets, multipliers, max_repeats), "copies")
 
-    # ranks of equal documents: salted groups of about the square root of the class
-    salted = sized.withColumn("salt", F.pmod(F.shiftright("hash", 8), F.lit(256)))
+    # ranks of equal documents: first by salt, then by hash
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    salts = max(256, -(-total // salt_rows))
+    salted = sized.withColumn("salt", F.pmod(F.shiftright("hash", 8), F.lit(salts)))
     per_salt = salted.groupBy("source", "size", "salt").agg(F.count("*").alias("k"))
     c = copies.select(F.col("source").alias("cs"), F.col("size").alias("cz"), "n", "total", "target", "copies")
     offsets = scratch.save(
