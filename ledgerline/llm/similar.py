@@ -19,9 +19,15 @@ is not.  The README states the recall on the check tables.
 Candidates are met in two rounds.  In the first, the texts of a variant meet the
 one of smallest id alone, which joins large groups of copies by links in
 proportion to their members.  In the second, all pairs of a variant meet that
-are not yet of one component.  A key of more than ``block`` texts is dealt out:
-in the first round in blocks, in the second in pairs of blocks, each a unit of
-work of bounded size, so no group of copies meets in one task.
+are not yet of one component.  What leaves it are never the pairs: the texts that
+have one, and as many edges as hold their components together.  The texts of
+each group of components so joined are then compared by their whole sets, all
+that are of different components, in units of at most two ``unit`` texts, and
+again only a spanning forest of the links leaves.
+
+A key of more than ``block`` texts is dealt out: in the first round in blocks, in
+the second in pairs of blocks, each a unit of work of bounded size, so no group
+of copies meets in one task.
 
 Defined results: words and case as in ``simhash``; texts of fewer words than a
 shingle are one shingle; texts without words are copies of each other; equal
@@ -35,11 +41,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerline.llm.cover import Links
 from ledgerline.llm.shingles import shingle_set, similar
 from ledgerline.operators.components import connected_components
 from ledgerline.sources.scratch import Scratch
@@ -212,30 +220,41 @@ def _steps(n: np.ndarray) -> np.ndarray:
 
 
 def _pair_round(deal: Deal) -> Callable:
-    """All pairs of a variant that are of different components, between the two blocks of a unit."""
+    """What near pairs of different components there are between the two blocks of a unit.
+
+    Rows (a, b, is_edge): edges that join components, or a text with such a pair and its component.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, x, y, low, ids, group, *lanes in _slices(batches, ["key", "x", "y", "low", "id", "component", *deal.names], 3):
             f = np.stack(lanes, axis=1).view(np.uint64)
             _, unit = np.unique(np.c_[key, x, y], axis=0, return_inverse=True)
-            code, row, bit = deal.variants(key, f)
+            code, row, _ = deal.variants(key, f)
             place, first, n = _runs((unit[row] << 40) ^ code)
-            row, bit = row[place], bit[place]
-            sorted_group = group[row]
-            ends = first + n
-            mixed = np.array([sorted_group[a:b].min() != sorted_group[a:b].max() for a, b in zip(first.tolist(), ends.tolist())], dtype=bool)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
+            if not len(first):
+                continue
+            row = row[place]
+            inner = _steps(n) + np.repeat(first, n)
+            starts = np.cumsum(n) - n
+            sorted_group = group[row[inner]]
+            mixed = np.minimum.reduceat(sorted_group, starts) != np.maximum.reduceat(sorted_group, starts)
+            components, own = np.unique(group, return_inverse=True)
+            joined, has_pair = Links(len(components)), np.zeros(len(ids), dtype=bool)
             for size in np.unique(n[mixed]).tolist():
-                starts = first[mixed & (n == size)]
-                for i, j in _places(starts, size):
+                for i, j in _places(first[mixed & (n == size)], size):
                     p, q = row[i], row[j]
-                    hit = (group[p] != group[q]) & ((x[p] == y[p]) | (low[p] != low[q]))
+                    hit = (own[p] != own[q]) & ((x[p] == y[p]) | (low[p] != low[q]))
                     p, q = p[hit], q[hit]
                     near = deal.near(f, p, q)
-                    found.append((p[near], q[near]))
-            if found:
-                p, q = (np.concatenate(c) for c in zip(*found))
-                yield _pairs(ids[p], ids[q])
+                    p, q = p[near], q[near]
+                    has_pair[p], has_pair[q] = True, True
+                    joined.join_all(own[p], own[q])
+            ends = np.array(joined.edges, dtype=np.int64).reshape(-1, 2)
+            texts = np.unique(np.c_[ids[has_pair], group[has_pair]], axis=0)
+            a = np.r_[components[ends[:, 0]], texts[:, 0]]
+            b = np.r_[components[ends[:, 1]], texts[:, 1]]
+            is_edge = np.arange(len(a)) < len(ends)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(is_edge)], names=["a", "b", "is_edge"])
 
     return run
 
@@ -278,34 +297,117 @@ def _verified(pairs: DataFrame, texts: Callable[[], DataFrame], scratch: Scratch
     left = some.select(F.col("id").alias("__a"), F.col("text").alias("s"))
     right = some.select(F.col("id").alias("__b"), F.col("text").alias("t"))
     both = pairs.join(right, F.col("b") == F.col("__b")).join(left, F.col("a") == F.col("__a"))
-    return scratch.save(both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "links")
+    links = scratch.save(both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "links")
+    scratch.drop(some)
+    return links
 
 
-def candidates(scratch: Scratch, marks: DataFrame, deal: Deal, block: int, component: bool) -> DataFrame:
-    """(a, b): pairs of ``marks`` (id, lanes, and component if asked) that a round brings together."""
+def _dealt(scratch: Scratch, marks: DataFrame, deal: Deal, block: int, more: list[str]) -> DataFrame:
+    """``marks`` (id, lanes, more) once for each key, with the key's number of blocks and the row's own."""
     lanes = ", ".join(f"{c} long" for c in deal.names)
-    more = ["component"] if component else []
-    schema = f"key long, id long, {lanes}" + ", component long" * component
-    routed = marks.select("id", *deal.names, *more).mapInArrow(_route(deal, more), schema)
+    routed = marks.select("id", *deal.names, *more).mapInArrow(_route(deal, more), f"key long, id long, {lanes}" + "".join(f", {c} long" for c in more))
     busy = routed.groupBy("key").count().filter(F.col("count") > block)
     busy = scratch.save(busy.select(F.col("key").alias("__k"), F.ceil(F.col("count") / block).cast("long").alias("blocks")), "busy")
-    if busy.limit(1).count():
-        sized = routed.join(busy, F.col("key") == F.col("__k"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        sized = sized.withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
-    else:
-        sized = routed.withColumn("blocks", F.lit(1).cast("long")).withColumn("own", F.lit(0).cast("long"))
-    if not component:
-        dealt = sized.select("key", "own", "id", *deal.names).repartition("key", "own").sortWithinPartitions("key", "own")
-        return dealt.mapInArrow(_lead_round(deal), "a long, b long").distinct()
-    units = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    if not busy.limit(1).count():
+        return routed.withColumn("blocks", F.lit(1).cast("long")).withColumn("own", F.lit(0).cast("long"))
+    sized = routed.join(busy, F.col("key") == F.col("__k"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return sized.withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
+
+
+def lead_pairs(scratch: Scratch, marks: DataFrame, deal: Deal, block: int) -> DataFrame:
+    """(a, b): each text with the first of its variants."""
+    dealt = _dealt(scratch, marks, deal, block, []).select("key", "own", "id", *deal.names).repartition("key", "own").sortWithinPartitions("key", "own")
+    return dealt.mapInArrow(_lead_round(deal), "a long, b long").distinct()
+
+
+def open_pairs(scratch: Scratch, marks: DataFrame, deal: Deal, block: int) -> DataFrame:
+    """(a, b, is_edge) of ``marks`` (id, lanes, component): see ``_pair_round``."""
+    units = _dealt(scratch, marks, deal, block, ["component"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     x, y = F.least("own", "other"), F.greatest("own", "other")
     units = units.select("key", x.alias("x"), y.alias("y"), (F.col("own") == x).alias("low"), "id", "component", *deal.names)
     dealt = units.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(_pair_round(deal), "a long, b long").distinct()
+    return dealt.mapInArrow(_pair_round(deal), "a long, b long, is_edge boolean").distinct()
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of some sets share; members of one set alone are left out first."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, member, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[member]
+    owner, member = owner[keep], number[member[keep]]
+    order = np.argsort(member, kind="stable")
+    owner, member = owner[order], member[order]
+    total = np.zeros((n, n), dtype=np.int64)
+    for a in range(0, int(shared.sum()), 2048):
+        i, j = np.searchsorted(member, (a, a + 2048))
+        present = np.zeros((n, 2048), dtype=np.float32)
+        present[owner[i:j], member[i:j] - a] = 1
+        total += (present @ present.T).astype(np.int64)
+    return total
+
+
+def unit_links(ids: list[int], components: list[int], sides: list[bool] | None, texts: list[str], words: int, least: Fraction) -> list[tuple[int, int]]:
+    """A spanning forest of the links between texts of different components, and of different sides if there are two."""
+    sets = [shingle_set(t, words) for t in texts]
+    common, size = _common(sets), np.array([len(s) for s in sets])
+    hit = common * least.denominator >= least.numerator * (size[:, None] + size - common)
+    hit &= np.not_equal.outer(components, components)
+    if sides is not None:
+        hit &= np.not_equal.outer(sides, sides)
+    links = Links(len(ids))
+    links.join_all(*np.nonzero(np.triu(hit, 1)))
+    return [(ids[i], ids[j]) for i, j in links.edges]
+
+
+def _compare_units(words: int, least: Fraction) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for (_, x, y), unit in groupby(rows, key=lambda r: (r["super"], r["x"], r["y"])):
+            held = list(unit)
+            sides = None if x == y else [r["low"] for r in held]
+            found = unit_links([r["id"] for r in held], [r["component"] for r in held], sides, [r["text"] for r in held], words, least)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]), pa.array([b for _, b in found])], names=["a", "b"])
+
+    return run
+
+
+def verified_groups(scratch: Scratch, found: DataFrame, texts: Callable[[], DataFrame], words: int, least: Fraction, unit: int) -> DataFrame:
+    """(a, b): links between texts of different components, from what ``open_pairs`` has found."""
+    supers = connected_components(scratch, found.filter("is_edge").select("a", "b")).select(F.col("node").alias("__c"), F.col("component").alias("super"))
+    members = found.filter("not is_edge").select(F.col("a").alias("id"), F.col("b").alias("component")).distinct()
+    members = scratch.save(members.join(supers, F.col("component") == F.col("__c")).drop("__c"), "members")
+    sizes = members.groupBy("super").agg(F.count("*").alias("n")).select(F.col("super").alias("__s"), F.ceil(F.col("n") / unit).cast("long").alias("blocks"))
+    parts = members.groupBy("super", "component").agg(F.count("*").alias("n")).select(
+        F.col("super").alias("__p"), F.col("component").alias("__c"), F.ceil(F.col("n") / unit).cast("long").alias("parts")
+    )
+    placed = members.join(sizes, F.col("super") == F.col("__s")).join(parts, (F.col("super") == F.col("__p")) & (F.col("component") == F.col("__c")))
+    # a component's texts lie side by side, so that few blocks hold several components
+    own = F.pmod(F.xxhash64("component") + F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")), F.col("blocks"))
+    placed = scratch.save(placed.select("id", "component", "super", own.alias("own")), "placed")
+    blocks = placed.groupBy("super", "own").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    left = blocks.select("super", F.col("own").alias("x"), F.col("least").alias("l"), F.col("most").alias("m"))
+    right = blocks.select(F.col("super").alias("__s"), F.col("own").alias("y"), "least", "most")
+    units = left.join(right, (F.col("super") == F.col("__s")) & (F.col("x") <= F.col("y"))).filter((F.least("l", "least") != F.greatest("m", "most")))
+    units = scratch.save(units.select(F.col("super").alias("__u"), "x", "y"), "units")
+    few = placed.count() <= BROADCAST_IDS
+    needed = placed.select(F.col("id").alias("n"))
+    some = texts().join(F.broadcast(needed) if few else needed, F.col("id") == F.col("n"), "left_semi").dropDuplicates(["id"])
+    some = scratch.save(some.select(F.col("id").alias("__i"), "text"), "texts")
+    rows = placed.join(some, F.col("id") == F.col("__i")).drop("__i")
+    both = rows.join(units, (F.col("super") == F.col("__u")) & ((F.col("own") == F.col("x")) | (F.col("own") == F.col("y"))))
+    both = both.select("super", "x", "y", "id", "component", (F.col("own") == F.col("x")).alias("low"), "text")
+    dealt = both.repartition("super", "x", "y").sortWithinPartitions("super", "x", "y")
+    links = scratch.save(dealt.mapInArrow(_compare_units(words, least), "a long, b long"), "links")
+    scratch.drop(some)
+    return links
 
 
 def near_duplicates(
-    spark: SparkSession, documents: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 16, width: int = 20, block: int = 1 << 17
+    spark: SparkSession, documents: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 16, width: int = 20, block: int = 1 << 17, unit: int = 512
 ) -> DataFrame:
     """``documents`` (doc_id, text) to (doc_id, component_id): the smallest doc_id reachable over similar texts."""
     scratch, least = Scratch(spark, "similar"), Fraction(str(similarity))
@@ -331,10 +433,10 @@ def near_duplicates(
     pieces = 2 if some.count() <= SLICE << (width // 2) else 4
     deal = Deal(segments, width, pieces, most_bits(similarity, segments * width))
     texts = lambda: rows.select("id", "text")
-    links = _verified(scratch.save(candidates(scratch, some, deal, block, False), "leads"), texts, scratch, words, least)
+    links = _verified(scratch.save(lead_pairs(scratch, some, deal, block), "leads"), texts, scratch, words, least)
     groups = connected_components(scratch, links)
     grouped = some.join(groups, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-    more = _verified(scratch.save(candidates(scratch, grouped, deal, block, True), "rest"), texts, scratch, words, least)
+    more = verified_groups(scratch, scratch.save(open_pairs(scratch, grouped, deal, block), "open"), texts, words, least, unit)
 
     first = firsts.select(F.col("id").alias("__i"), "first")
     ends = (
