@@ -26,6 +26,7 @@ def _flatten(scratch: Scratch, parents: DataFrame) -> DataFrame:
             (F.coalesce("__r", "root") != F.col("root")).alias("__moved"),
         )
         following = scratch.save(jumped, "jump")
+        scratch.drop(table)
         moved = following.filter("__moved").limit(1).count()
         table = following.select("node", "root")
         if not moved:
@@ -46,14 +47,16 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         both = live.union(live.select("b", "a"))
         stars = _flatten(scratch, both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
         up = stars.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
-        if labels is None:
+        before, first = labels, labels is None
+        if first:
             labels = stars
         else:
             labels = scratch.save(
                 labels.join(up, F.col("root") == F.col("__n"), "left").select("node", F.coalesce("__r", "root").alias("root")), "labels"
             )
+            scratch.drop(before)
         ends = up.select(F.col("__n").alias("__m"), F.col("__r").alias("__s"))
-        live = scratch.save(
+        contracted = scratch.save(
             live.join(up, F.col("a") == F.col("__n"))
             .join(ends, F.col("b") == F.col("__m"))
             .select(F.least("__r", "__s").alias("a"), F.greatest("__r", "__s").alias("b"))
@@ -61,6 +64,10 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             .distinct(),
             "live",
         )
+        scratch.drop(live)
+        live = contracted
+        if not first:
+            scratch.drop(stars)
     if labels is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels.select("node", F.col("root").alias("component"))

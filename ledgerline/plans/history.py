@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.functions import names
+from ledgerline.operators.ranking import numbered
 from ledgerline.sources.catalog import TRASH
 from ledgerline.sources.scratch import Scratch
 
@@ -17,10 +18,10 @@ def runs(ledger: DataFrame) -> DataFrame:
 
 
 def history(ledger: DataFrame) -> DataFrame:
-    """Runs with a label and an index from 1, newest first; the window is over one row per run."""
+    """Runs with a label and an index from 1, newest first."""
     label = F.coalesce(F.date_format(F.try_to_timestamp("run_day", F.lit("yyyyMMdd")), "yyyy-MM-dd"), F.col("run_id"))
-    newest = Window.orderBy(F.desc("run_day"), F.desc("run_id"))
-    return runs(ledger).withColumn("label", label).withColumn("index", F.row_number().over(newest))
+    found = runs(ledger).withColumn("label", label)
+    return numbered(Scratch(ledger.sparkSession, "history"), found, [], [F.desc("run_day"), F.desc("run_id")], "index").withColumn("index", F.col("index").cast("int"))
 
 
 def latest_run(ledger: DataFrame) -> DataFrame:
@@ -134,6 +135,7 @@ def chains(scratch: Scratch, ledger: DataFrame) -> DataFrame:
         up = table.select(F.col("run_id").alias("__run"), F.col("seq").alias("__seq"), F.col("head").alias("__head"))
         jumped = table.join(up, (F.col("run_id") == F.col("__run")) & (F.col("head") == F.col("__seq")))
         following = scratch.save(jumped.select("run_id", "seq", F.col("__head").alias("head"), (F.col("__head") != F.col("head")).alias("moved")), "heads")
+        scratch.drop(table)
         table = following.drop("moved")
         if not following.filter("moved").limit(1).count():
             break

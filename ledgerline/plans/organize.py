@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.functions import names
+from ledgerline.operators.ranking import numbered
+from ledgerline.sources.scratch import Scratch
 
 
 def is_large(size_mb: float | None) -> Column:
@@ -26,38 +28,38 @@ def unique_names(moves: DataFrame, taken: DataFrame) -> DataFrame:
     Arrivals of one name take free names in order of ``source``; ``taken`` is
     (folder, name).  A numbered name that itself arrives, or is taken, is passed
     over, so results are free of clashes whatever the names are.
+
+    If u(1) < u(2) < ... are the numbers in use, the k-th free one is k plus how
+    many j have u(j) - j < k.  That count is read off one numbering of arrivals
+    and used numbers together, so a name that a third of all files bear is dealt
+    over many tasks.
     """
-    split = moves.withColumn("__stem", names.stem(F.col("name"))).withColumn("__suffix", names.suffix(F.col("name")))
-    busy = taken.select("folder", "name").unionByName(moves.select("folder", "name")).distinct()
-    bare = taken.select("folder", "name").distinct().withColumn("__bare_taken", F.lit(True))
-    split = split.join(bare, ["folder", "name"], "left")
-    order = Window.partitionBy("folder", "name").orderBy("source")
-    split = split.withColumn("__k", F.row_number().over(order) - F.when(F.col("__bare_taken"), 0).otherwise(1))
-    # Numbers already in use per stem; the k-th free number is found by stepping over them in order.
+    scratch, group = Scratch(moves.sparkSession, "names"), ["folder", "name"]
+    bare = taken.select(*group).distinct().withColumn("__bare_taken", F.lit(True))
+    arrivals = numbered(scratch, moves, group, ["source"], "__r").join(bare, group, "left")
+    arrivals = scratch.save(arrivals.withColumn("__k", F.col("__r") - F.when(F.col("__bare_taken"), 0).otherwise(1)), "arrivals")
+
+    # numbers in use, by the name without them
     pattern = r"(?s)^(.*) \((\d{1,9})\)$"
-    used = (
-        busy.withColumn("__old", names.stem(F.col("name")))
-        .filter(F.col("__old").rlike(pattern))
-        .select(
-            "folder",
-            F.regexp_extract("__old", pattern, 1).alias("__stem"),
-            names.suffix(F.col("name")).alias("__suffix"),
-            F.regexp_extract("__old", pattern, 2).alias("__digits"),
-        )
-        .filter(F.col("__digits").cast("int").cast("string") == F.col("__digits"))
-        .groupBy("folder", "__stem", "__suffix")
-        .agg(F.array_sort(F.collect_set(F.col("__digits").cast("int"))).alias("__used"))
-    )
-    number = F.aggregate(
-        F.coalesce("__used", F.array().cast("array<int>")),
-        F.col("__k").cast("int"),
-        lambda n, u: F.when((u >= 1) & (u <= n), n + 1).otherwise(n),
+    old, suffix = names.stem(F.col("name")), names.suffix(F.col("name"))
+    digits = F.regexp_extract(old, pattern, 2)
+    busy = taken.select(*group).unionByName(moves.select(*group)).distinct().filter(old.rlike(pattern))
+    used = busy.filter((digits.try_cast("int").cast("string") == digits) & (digits.try_cast("int") > 0)).select(
+        "folder", F.concat(F.regexp_extract(old, pattern, 1), suffix).alias("name"), digits.try_cast("long").alias("__u")
     )
-    numbered = F.concat("__stem", F.lit(" ("), number.cast("string"), F.lit(")"), "__suffix")
+    met = used.join(moves.select(*group).distinct(), group, "left_semi")
+    gaps = numbered(scratch, met, group, ["__u"], "__j").select(*group, (F.col("__u") - F.col("__j") + 1).alias("__at"), F.lit(0).alias("__arrives"), F.col("__u").alias("__tie"))
+    crowded = arrivals.join(met.select(*group).distinct(), group, "left_semi")
+    both = gaps.unionByName(crowded.select(*group, F.col("__k").alias("__at"), F.lit(1).alias("__arrives"), F.col("__r").alias("__tie")))
+    placed = numbered(scratch, both, group, ["__at", "__arrives", "__tie"], "__place").filter("__arrives = 1")
+    passed = placed.select(*group, F.col("__tie").alias("__r"), (F.col("__place") - F.col("__tie")).alias("__passed"))
+    number = F.col("__k") + F.coalesce("__passed", F.lit(0))
+    stem, suffix = names.stem(F.col("name")), names.suffix(F.col("name"))
+    numbered_name = F.concat(stem, F.lit(" ("), number.cast("string"), F.lit(")"), suffix)
     return (
-        split.join(used, ["folder", "__stem", "__suffix"], "left")
-        .withColumn("new_name", F.when(F.col("__k") == 0, F.col("name")).otherwise(numbered))
-        .drop("__stem", "__suffix", "__bare_taken", "__k", "__used")
+        arrivals.join(passed, [*group, "__r"], "left")
+        .withColumn("new_name", F.when(F.col("__k") == 0, F.col("name")).otherwise(numbered_name))
+        .select(*moves.columns, "new_name")
     )
 
 

@@ -30,13 +30,21 @@ def shared_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one query, under a folder of its own inside the shared root."""
+    """Tables of one query, under a folder of its own inside the shared root, which goes with the application."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         ship(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
+        folder, files = self._hadoop(self.path)
+        files.deleteOnExit(folder)
+
+    def _hadoop(self, path: str) -> tuple:
+        """A path and its file system, as Hadoop has them."""
+        context = self.spark.sparkContext
+        found = context._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(context._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str = "t", parts: list[str] | None = None) -> DataFrame:
         """Writes ``df`` and returns the table read back; the old lineage is gone.
@@ -49,12 +57,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     def drop(self, df: DataFrame, *parts: str) -> None:
-        """Deletes a table of this query, or only its folders ``parts`` (``column=value``), and lets Spark drop the shuffles behind it."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        """Deletes a table of this query that nothing reads any more, or only its folders ``parts`` (``column=value``)."""
         for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if self.path.rsplit("/", 1)[1] in parent and (not parts or parent.rsplit("/", 1)[1] in parts):
-                path = jvm.org.apache.hadoop.fs.Path(parent)
-                path.getFileSystem(conf).delete(path, True)
+                path, files = self._hadoop(parent)
+                files.delete(path, True)
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished jobs, which it does when their plans are collected as garbage."""
         gc.collect()
-        jvm.System.gc()
+        self.spark.sparkContext._jvm.System.gc()
