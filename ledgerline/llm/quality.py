@@ -3,13 +3,13 @@
 Two zstandard dictionaries are built, one from good and one from bad labelled
 text.  A text is compressed with both in blocks of ``block`` bytes, so that its
 end counts like its beginning, and the sizes are summed over the whole text.
-The normalised difference (good - bad) / larger is the evidence, and nothing else;
-it is calibrated to a probability of label 1 by logistic regression on labelled
-documents that built no dictionary.
+The difference (good - bad), normalised by the length of the text, is the
+evidence, and nothing else; it is calibrated to a probability of label 1 by
+logistic regression on labelled documents that built no dictionary.
 
-Sample bound: ``per_class`` documents of each label; half build the
+Sample bound: ``per_class`` documents of each label; three quarters build the
 dictionaries, of ``dictionary`` bytes each, from at most ``blocks_per_document``
-blocks of each document, half calibrate.  Where the blocks are too few to train
+blocks of each document, one quarter calibrates.  Where the blocks are too few to train
 a dictionary from, they are one themselves, as raw content.
 
 Defined results: a null or empty text has no evidence and scores what
@@ -67,7 +67,7 @@ class Scorer:
             part = raw[a : a + self.model.block]
             good += len(self.compressors[0].compress(part))
             bad += len(self.compressors[1].compress(part))
-        return (good - bad) / max(good, bad)
+        return (good - bad) / len(raw)
 
 
 def _blocks(text: str | None, size: int, most: int) -> list[bytes]:
@@ -84,7 +84,7 @@ def train(
     parts: int = 5,
     held_out: int = 0,
     per_class: int = 3000,
-    blocks_per_document: int = 2,
+    blocks_per_document: int = 8,
     block: int = 1024,
     dictionary: int = 1 << 16,
     level: int = 3,
@@ -92,15 +92,15 @@ def train(
     import zstandard
 
     scratch = Scratch(spark, "quality")
-    half = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)).cast("int")
-    sample = scratch.save(labelled_sample(documents, labels, "quality", parts, held_out, per_class).withColumn("half", half), "sample")
+    calibrates = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 0
+    sample = scratch.save(labelled_sample(documents, labels, "quality", parts, held_out, per_class).withColumn("calibrates", calibrates), "sample")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(y, b) for t, y in zip(batch.column(0), batch.column(1).to_pylist()) for b in _blocks(t.as_py(), block, blocks_per_document)]
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["y", "b"])
 
-    pieces = sample.filter("half = 0").select("text", "y").mapInArrow(cut, "y int, b binary").select("y", "b", F.xxhash64("b").alias("h")).collect()
+    pieces = sample.filter("not calibrates").select("text", "y").mapInArrow(cut, "y int, b binary").select("y", "b", F.xxhash64("b").alias("h")).collect()
     built = []
     for y in (1, 0):  # the bounded sample is put in an order that no partition decides
         own = sorted((r["h"], bytes(r["b"])) for r in pieces if r["y"] == y and len(r["b"]) >= 16)
@@ -115,7 +115,7 @@ def train(
             found = [scorer.evidence(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.float64())], names=["y", "x"])
 
-    rows = sorted(tuple(r) for r in sample.filter("half = 1").select("text", "y").mapInArrow(weigh, "y int, x double").collect())
+    rows = sorted(tuple(r) for r in sample.filter("calibrates").select("text", "y").mapInArrow(weigh, "y int, x double").collect())
     weights, model.intercept = fit_logistic(np.array([x for _, x in rows]), np.array([y for y, _ in rows]))
     model.weight = float(weights[0])
     return model

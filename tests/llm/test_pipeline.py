@@ -54,7 +54,7 @@ def test_quality_stage(spark, steps, labels):
         if raw:
             parts = [raw[a : a + model.block] for a in range(0, len(raw), model.block)]
             good, bad = (sum(len(zstandard.ZstdCompressor(dict_data=book, **options).compress(p)) for p in parts) for book in books)
-            x = (good - bad) / max(good, bad)
+            x = (good - bad) / len(raw)
         return 1 / (1 + math.exp(-(x * model.weight + model.intercept))) >= 0.3
 
     assert rows(made) == kept_by(docs, keep)
