@@ -1,8 +1,8 @@
-"""Vectors in blocks: rows packed into binary rows, so that pairs of blocks travel as two rows."""
+"""Vectors in blocks: rows packed into binary rows, so that pairs of blocks travel as two rows; and streams in slices."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,9 @@ SCHEMA = pa.schema(
     [("block", pa.int64()), ("n", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("index", pa.binary())]
 )
 
+#: Rows of whole groups that are worked on at once.
+SLICE = 1 << 16
+
 
 def usable(vector: str, nonzero: bool) -> Column:
     """Whether a vector has components, all present and finite, and if asked one that is not zero."""
@@ -44,3 +47,31 @@ def pack(vectors: DataFrame, key: str, change: Callable[[np.ndarray], np.ndarray
 
 def unpack(ids: bytes, data: bytes, n: int, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=dtype).reshape(n, -1)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], group: int) -> Iterator[list[np.ndarray]]:
+    """Columns of a stream that is sorted by its first ``group`` columns, in slices of whole groups: ``SLICE`` rows, or one group if it has more."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+
+    def together() -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*held)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names])
+        rows += batch.num_rows
+        if rows >= SLICE:
+            columns = together()
+            changes = np.zeros(rows - 1, dtype=bool)
+            for c in columns[:group]:
+                changes |= c[1:] != c[:-1]
+            cut = np.flatnonzero(changes)
+            if len(cut):
+                at = int(cut[-1]) + 1
+                yield [c[:at] for c in columns]
+                columns = [c[at:] for c in columns]
+            held, rows = [columns], len(columns[0])
+    if rows:
+        yield together()

@@ -9,14 +9,18 @@ fingerprints are verified.  So that no pair is verified 32 times over, a pair
 with equal segments counts at bit 0 alone and a pair that differs at a bit only
 at that bit.
 
-The join is carried out on co-partitioned, sorted keys in numpy.  What leaves a
-bucket is a spanning forest of its links, never its pairs: at most one edge per
-member.  A key shared by more than ``block`` fingerprints is dealt out as pairs
+The join is carried out on co-partitioned, sorted keys in numpy, a slice of some
+thousand rows of whole keys at a time, so a task's memory does not grow with its
+rows.  What leaves a bucket is a spanning forest of its links, never its pairs:
+at most one edge per member.  A key shared by more than ``block`` fingerprints is dealt out as pairs
 of blocks, each pair a task's unit, so no group of any size meets in one task.
 
 Defined results: a null or empty text has no words and fingerprint zero, which
 links like any other; texts of fewer words than a shingle are one shingle;
-documents of equal text share a fingerprint and so a component.
+documents of equal text share a fingerprint and so a component; rows that repeat
+a doc_id have a row each; rows without one link nothing, and have the component
+of their fingerprint's other documents, null if there are none; an empty table
+gives an empty table; other columns are never read.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerline.llm.blocks import whole_groups
 from ledgerline.llm.shingles import LOWER
 from ledgerline.operators.components import connected_components
 from ledgerline.sources.scratch import Scratch
@@ -168,16 +173,14 @@ def fingerprint_links(scratch: Scratch, fps: DataFrame, most: int = 3, block: in
     busy = scratch.save(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select(F.col("key").alias("__k"), "n"), "busy")
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("rep", pa.int64())]))
-        if table.num_rows:
-            key, fp, rep = (table.column(c).to_numpy() for c in ("key", "fp", "rep"))
+        for key, fp, rep in whole_groups(batches, ["key", "fp", "rep"], 1):
             yield _as_edges(*bucket_edges(key, fp.view(np.uint64), rep, most))
 
+    meet = lambda rows: rows.repartition("key").sortWithinPartitions("key").mapInArrow(plain, "a long, b long")
     if not busy.limit(1).count():
-        return keys.repartition("key").mapInArrow(plain, "a long, b long")
+        return meet(keys)
 
-    rest = keys.join(busy, F.col("key") == F.col("__k"), "left_anti")
-    edges = rest.repartition("key").mapInArrow(plain, "a long, b long")
+    edges = meet(keys.join(busy, F.col("key") == F.col("__k"), "left_anti"))
     # a crowded key: its members in blocks, one unit of work per pair of blocks
     crowded = (
         keys.join(busy, F.col("key") == F.col("__k"))
@@ -208,7 +211,7 @@ def near_duplicates(spark: SparkSession, documents: DataFrame, words: int = 3, m
     scratch = Scratch(spark, "simhash")
     marked = scratch.save(fingerprints(documents, words, seed), "fingerprints")
     distinct = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    groups = connected_components(scratch, fingerprint_links(scratch, distinct, most))
+    groups = connected_components(scratch, fingerprint_links(scratch, distinct.filter("rep is not null"), most))
     named = distinct.join(groups, F.col("rep") == F.col("node"), "left").select(
         F.col("fp").alias("__fp"), F.coalesce("component", "rep").alias("component_id")
     )

@@ -47,14 +47,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerline.llm.blocks import SLICE, whole_groups
 from ledgerline.llm.cover import Links
 from ledgerline.llm.shingles import shingle_set, similar
 from ledgerline.operators.components import connected_components
 from ledgerline.sources.scratch import Scratch
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Rows of whole keys that are worked on at once, and ids that may be broadcast (eight bytes each).
-SLICE, BROADCAST_IDS = 1 << 16, 1_000_000
+#: Ids that may be broadcast (eight bytes each).
+BROADCAST_IDS = 1_000_000
 
 
 def wide_fingerprint(members: np.ndarray, lanes: int) -> np.ndarray:
@@ -136,34 +137,6 @@ class Deal:
         return hit
 
 
-def _slices(batches: Iterator[pa.RecordBatch], names: list[str], group: int) -> Iterator[list[np.ndarray]]:
-    """Columns of a stream that is sorted by its first ``group`` columns, in slices of whole groups."""
-    held: list[list[np.ndarray]] = []
-    rows = 0
-
-    def together() -> list[np.ndarray]:
-        return [np.concatenate(c) for c in zip(*held)]
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names])
-        rows += batch.num_rows
-        if rows >= SLICE:
-            columns = together()
-            changes = np.zeros(rows - 1, dtype=bool)
-            for c in columns[:group]:
-                changes |= c[1:] != c[:-1]
-            cut = np.flatnonzero(changes)
-            if len(cut):
-                at = int(cut[-1]) + 1
-                yield [c[:at] for c in columns]
-                columns = [c[at:] for c in columns]
-            held, rows = [columns], len(columns[0])
-    if rows:
-        yield together()
-
-
 def _runs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, first, length) of runs of equal codes of two rows or more."""
     order = np.argsort(code, kind="stable")
@@ -196,7 +169,7 @@ def _lead_round(deal: Deal) -> Callable:
     """Each text with the one of smallest id that some variant of a key and block holds too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, own, ids, *lanes in _slices(batches, ["key", "own", "id", *deal.names], 2):
+        for key, own, ids, *lanes in whole_groups(batches, ["key", "own", "id", *deal.names], 2):
             f = np.stack(lanes, axis=1).view(np.uint64)
             _, block = np.unique(np.c_[key, own], axis=0, return_inverse=True)
             order = np.lexsort((ids, block))
@@ -226,7 +199,7 @@ def _pair_round(deal: Deal) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, x, y, low, ids, group, *lanes in _slices(batches, ["key", "x", "y", "low", "id", "component", *deal.names], 3):
+        for key, x, y, low, ids, group, *lanes in whole_groups(batches, ["key", "x", "y", "low", "id", "component", *deal.names], 3):
             f = np.stack(lanes, axis=1).view(np.uint64)
             _, unit = np.unique(np.c_[key, x, y], axis=0, return_inverse=True)
             code, row, _ = deal.variants(key, f)
@@ -299,6 +272,7 @@ def _verified(pairs: DataFrame, texts: Callable[[], DataFrame], scratch: Scratch
     both = pairs.join(right, F.col("b") == F.col("__b")).join(left, F.col("a") == F.col("__a"))
     links = scratch.save(both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "links")
     scratch.drop(some)
+    scratch.release()
     return links
 
 
@@ -403,6 +377,7 @@ def verified_groups(scratch: Scratch, found: DataFrame, texts: Callable[[], Data
     dealt = both.repartition("super", "x", "y").sortWithinPartitions("super", "x", "y")
     links = scratch.save(dealt.mapInArrow(_compare_units(words, least), "a long, b long"), "links")
     scratch.drop(some)
+    scratch.release()
     return links
 
 
