@@ -610,8 +610,10 @@ def score(
     model = {"theta": theta} | dict(zip(("tokens", "vocabulary"), _sums(kind(named, "word"), 2)))
     told = save(at_nodes(cut.union(kind(named, "named")), nodes, name_chunk(nodes)), "named")
     scratch.drop(cut)
+    scratch.release()
     pairs = save(at_nodes(kind(told, "pairs"), nodes, gather_pairs), "pairs")
     scratch.drop(told, "kind=pairs")
+    scratch.release()
     model["discount"] = discount(*_sums(kind(pairs, "counts"), 2))
     words = save(at_nodes(kind(named, "word").union(kind(pairs, "first")), nodes, first_totals), "words")
     *root, once, twice = _sums(kind(words, "word"), 4)
@@ -628,6 +630,7 @@ def score(
         scratch.drop(dishes, "kind=dish")
         scratch.drop(seated, "kind=more")
         scratch.drop(words, "kind=word", "kind=totals")
+        scratch.release()
         dishes, words = kind(seated, "dish"), after
 
     seen = at_nodes(dishes.union(kind(pairs, "place", "counts")), nodes, answer_chunks(samples))

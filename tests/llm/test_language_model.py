@@ -140,7 +140,7 @@ def test_scores_equal_a_plain_sampler(spark):
     into = Counter(w for _, w in pairs)
     d = lm.discount(once, twice)
     d0 = lm.discount(*(sum(c == n for c in into.values()) for n in (1, 2)))
-    probability = plain_model(train, d, d0, 1.0, 400, 50)
+    probability = plain_model(train, d, d0, 1.0, 200, 40)
     for doc, text in docs:
         words = text.split()
         want = sum(math.log10(probability[p]) for p in zip(["", *words], [*words, ""]))
