@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerline.functions import names
+from ledgerline.operators.ranking import numbered
+from ledgerline.sources.scratch import Scratch
 
 PREFIX_BYTES = 8192
 
@@ -68,11 +70,11 @@ def purge_plan(duplicates: DataFrame, selected: DataFrame, trash: str, batch: st
     judged = chosen.join(counts, "group_path").withColumn(
         "outcome", F.when((F.col("n_chosen") == F.col("n_copies")) & (F.col("path") == F.col("first_chosen")), "kept").otherwise("trash")
     )
-    name = names.base_name(F.col("path"))
-    nth = F.row_number().over(Window.partitionBy(name, "outcome").orderBy("path")) - 1
+    placed = numbered(Scratch(duplicates.sparkSession, "purge"), judged.withColumn("name", names.base_name(F.col("path"))), ["name", "outcome"], ["path"], "nth")
+    name, nth = F.col("name"), F.col("nth") - 1
     unique = F.concat(names.stem(name), F.when(nth > 0, F.concat(F.lit(" ("), nth.cast("string"), F.lit(")"))).otherwise(""), names.suffix(name))
     place = F.when(F.col("outcome") == "trash", F.concat_ws("/", F.lit(trash), F.lit(batch), unique))
-    return judged.select(F.col("path").alias("source"), place.alias("destination"), "size", "outcome")
+    return placed.select(F.col("path").alias("source"), place.alias("destination"), "size", "outcome")
 
 
 def reclaimed(purge: DataFrame) -> DataFrame:

@@ -18,6 +18,15 @@ def distance(left: str, right: str) -> Column:
                F.bit_count(F.col(f"{left}.b0").bitwiseXOR(F.col(f"{right}.b0"))))
 
 
+def _meet(keyed: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
+    """Rows l and r, l.id < r.id, of equal keys; a key of more than ``most`` rows is dealt out in parts of its pairs."""
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > most)
+    sized = keyed.join(counts, keys, "left").withColumn("__parts", F.coalesce(F.ceil(F.col("__n") / most), F.lit(1)).cast("long"))
+    left = sized.withColumn("__part", F.pmod(F.xxhash64("id"), F.col("__parts")))
+    right = sized.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)))
+    return left.alias("l").join(right.alias("r"), [*keys, "__part"]).filter("l.id < r.id")
+
+
 def pairs(signatures: DataFrame, threshold: int = PRESETS["normal"]) -> DataFrame:
     """(i, j, distance), i < j, of distinct signatures that share a whole band and differ in few bits.
 
@@ -27,7 +36,7 @@ def pairs(signatures: DataFrame, threshold: int = PRESETS["normal"]) -> DataFram
     """
     each = signatures.groupBy(*BANDS).agg(F.min("id").alias("id"))
     keyed = each.select("id", *BANDS, F.posexplode(F.array(*BANDS)).alias("band", "value"))
-    found = keyed.alias("l").join(keyed.alias("r"), ["band", "value"]).filter("l.id < r.id")
+    found = _meet(keyed, ["band", "value"])
     found = found.withColumn("distance", distance("l", "r")).filter(F.col("distance") <= threshold)
     return found.select(F.col("l.id").alias("i"), F.col("r.id").alias("j"), "distance").distinct()
 
@@ -51,7 +60,7 @@ def pairs_exact(signatures: DataFrame, threshold: int = PRESETS["normal"]) -> Da
         for bit in range(high - low):
             variants.append(F.struct(F.lit(s * 64 + bit).alias("place"), segment.bitwiseAND(F.lit(~(1 << bit))).alias("rest")))
     keyed = each.withColumn("bits", bits).select("id", "bits", F.explode(F.array(*variants)).alias("v")).select("id", "bits", "v.place", "v.rest")
-    found = keyed.alias("l").join(keyed.alias("r"), ["place", "rest"]).filter("l.id < r.id")
+    found = _meet(keyed, ["place", "rest"])
     found = found.withColumn("distance", F.bit_count(F.col("l.bits").bitwiseXOR(F.col("r.bits")))).filter(F.col("distance") <= threshold)
     return found.select(F.col("l.id").alias("i"), F.col("r.id").alias("j"), "distance").distinct()
 

@@ -35,10 +35,10 @@ def _outcome(missing: Column, unknown: Column, occupied: Column) -> Column:
 
 def undo_plan(ledger: DataFrame) -> DataFrame:
     """(run_id, step, source, destination, outcome): every run's moves backwards, from where the file is now."""
-    back = Window.partitionBy("run_id").orderBy(F.desc("seq"))
-    return ledger.select(
+    backwards = numbered(Scratch(ledger.sparkSession, "undo"), ledger, ["run_id"], [F.desc("seq")], "step")
+    return backwards.select(
         "run_id",
-        F.row_number().over(back).alias("step"),
+        F.col("step").cast("int").alias("step"),
         F.col("destination").alias("source"),
         F.col("source").alias("destination"),
         _outcome(~F.col("destination_exists"), F.lit(False), F.col("source_occupied")).alias("outcome"),

@@ -121,6 +121,13 @@ def multi_root_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(pages).unionByName(again).dropDuplicates(["path"])
 
 
+def workspace_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The storage record with what lies in the trash."""
+    ledger = catalog.ledger(spark, sf_dir).filter("destination_exists")
+    trashed = ledger.agg(F.count_if(history.in_trash(F.col("destination"))).alias("n_trashed"))
+    return storage.telemetry(catalog.files(spark, sf_dir)).join(trashed)
+
+
 def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F20."""
     key = F.col("c_custkey")
@@ -438,6 +445,11 @@ def extension_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.owners(rules.dictionary(spark))
 
 
+def category_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O6."""
+    return rules.listing(rules.dictionary(spark))
+
+
 def category_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One category replaced, one removed, one built-in reverted."""
     table = rules.put_category(rules.dictionary(spark), "Audio", ".MP3, wav , , mp3")
@@ -630,6 +642,11 @@ ORACLES = {
                '/ws/trash/batch_vacuum_20240131_000000/' || name || CASE WHEN r > 0 THEN '_' || r ELSE '' END AS destination FROM o""",
     "thumbnail_hits": f"{_CACHE} SELECT path, mtime, size, value AS b64 FROM held h WHERE EXISTS (SELECT 1 FROM keys k WHERE (k.path, k.mtime, k.size) = (h.path, h.mtime, h.size))",
     "extension_owner": f"SELECT ext, max_by(category, ord) AS category FROM (VALUES {_CLAIMS}) t(category, ext, ord) GROUP BY ext",
+    "category_names": f"""SELECT category, count(*) AS n_extensions, CAST(row_number() OVER (ORDER BY category) AS INTEGER) AS position
+        FROM (VALUES {_CLAIMS}) t(category, ext, ord) GROUP BY category""",
+    "workspace_telemetry": f"""{FILES}, t AS (SELECT count(*) AS n_trashed FROM events WHERE event_type = 'error' AND event_id % 10 <> 0)
+        SELECT count(*) FILTER (NOT is_excluded) AS n_files, CAST(coalesce(sum(size) FILTER (NOT is_excluded), 0) AS BIGINT) AS bytes,
+               count(*) FILTER (is_excluded) AS n_excluded, count(*) FILTER (NOT is_excluded AND size IS NULL) AS n_unreadable, any_value(n_trashed) AS n_trashed FROM files, t""",
     "category_edit": f"SELECT * FROM (VALUES {_EDITED}) t(category, ext, is_custom)",
     "storage_by_category": f"""{FILES}, g AS (SELECT category, count(*) AS n_files, {_BYTES} FROM scanned GROUP BY category)
         SELECT *, CAST(coalesce(floor(bytes / nullif(sum(bytes) OVER (), 0) * 100), 0) AS BIGINT) AS pct,
@@ -714,6 +731,7 @@ _QUERIES = [
     category_subset_plan, organize_preview, stage_plan, stage_plan_late, collision_resolve, mismatch_fix_plan, rename_remove, rename_prefix,
     rename_suffix, rename_preview, trash_listing, restore_selected, undo_details, history_rebuilt, stage_chains,
     vacuum_to_trash, thumbnail_hits, extension_owner, category_edit,
+    category_names, workspace_telemetry,
 ]
 
 
