@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: A block as a row: its key, the number of vectors and of dimensions, ids, values and an index of them.
-BLOCK = "block long, n int, dims int, ids binary, data binary, index binary"
+#: A block as a row: its key, the number of vectors and of dimensions, ids, values, their type and an index of them.
+BLOCK = "block long, n int, dims int, ids binary, data binary, kind string, index binary"
 SCHEMA = pa.schema(
-    [("block", pa.int64()), ("n", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("index", pa.binary())]
+    [("block", pa.int64()), ("n", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("kind", pa.string()), ("index", pa.binary())]
 )
+#: Types that a block's values may be sent as, smallest first.
+KINDS = ("<i2", "<f4", "<f8")
 
 #: Rows of whole groups that are worked on at once.
 SLICE = 1 << 16
@@ -26,10 +28,20 @@ def usable(vector: str, nonzero: bool) -> Column:
     return F.coalesce(ok & F.exists(v, lambda x: x != 0) if nonzero else ok, F.lit(False))
 
 
-def pack(vectors: DataFrame, key: str, change: Callable[[np.ndarray], np.ndarray], dtype: str, index: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
+def smallest(values: np.ndarray) -> tuple[bytes, str]:
+    """The values in the smallest type that holds them exactly, and which that is."""
+    for kind in KINDS:
+        with np.errstate(invalid="ignore", over="ignore"):
+            held = values.astype(kind)
+        if (held == values).all():
+            return np.ascontiguousarray(held).tobytes(), kind
+    raise ValueError("values are not finite")
+
+
+def pack(vectors: DataFrame, key: str, change: Callable[[np.ndarray], np.ndarray] | None = None, index: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
     """``vectors`` (id long, v array<double>, and a key) to one BLOCK row per block.
 
-    ``index`` makes what later tasks would otherwise build once per pair.  The caller's blocks are of bounded size; all vectors of one have one length.
+    ``index`` makes of the values what later tasks would otherwise build once per pair.  The caller's blocks are of bounded size; all vectors of one have one length.
     """
 
     def one(table: pa.Table) -> pa.Table:
@@ -37,16 +49,18 @@ def pack(vectors: DataFrame, key: str, change: Callable[[np.ndarray], np.ndarray
         order = np.argsort(ids, kind="stable")
         column = table.column("v").combine_chunks()
         values = column.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
-        data = np.ascontiguousarray(change(values), dtype=dtype)
-        made = index(data) if index else None
-        row = [[table.column("block")[0].as_py()], [len(ids)], [values.shape[1]], [ids[order].tobytes()], [data.tobytes()], [made]]
+        values = change(values) if change else values
+        made = index(values) if index else None
+        data, kind = smallest(values)
+        row = [[table.column("block")[0].as_py()], [len(ids)], [values.shape[1]], [ids[order].tobytes()], [data], [kind], [made]]
         return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(row, SCHEMA)], schema=SCHEMA)
 
     return vectors.select("id", "v", F.col(key).cast("long").alias("block")).groupBy("block").applyInArrow(one, BLOCK)
 
 
-def unpack(ids: bytes, data: bytes, n: int, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=dtype).reshape(n, -1)
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and values (as doubles) of a BLOCK row."""
+    return np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["data"], dtype=row["kind"]).reshape(row["n"], -1).astype(np.float64)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], group: int) -> Iterator[list[np.ndarray]]:

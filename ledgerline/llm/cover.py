@@ -278,6 +278,12 @@ def _children(nodes: np.ndarray, level: Level | None) -> np.ndarray:
     return np.repeat(level.first[nodes] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
 
+def _small(order: np.ndarray, levels: list[Level]) -> tuple[np.ndarray, list[Level]]:
+    """A tree with numbers of half the length."""
+    half = lambda a: a.astype(np.int32)
+    return half(order), [Level(half(v.points), v.radii, half(v.starts), half(v.ends), half(v.first), half(v.count)) for v in levels]
+
+
 def _unit(values: np.ndarray) -> np.ndarray:
     scaled = values / np.abs(values).max(axis=1, keepdims=True)
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
@@ -303,20 +309,20 @@ def near_duplicates(spark: SparkSession, embeddings: DataFrame, cosine: float =
     rows = every.filter(usable("v", nonzero=True) & F.col("id").isNotNull()).withColumn("dims", F.size("v"))
     sizes = scratch.save(rows.groupBy("dims").agg(F.count("*").alias("n")).select(F.col("dims").alias("d"), F.ceil(F.col("n") / block_rows).cast("long").alias("blocks")), "sizes")
     dealt = rows.join(sizes, F.col("dims") == F.col("d")).withColumn("key", F.col("dims").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("blocks")))
-    index = lambda data: pickle.dumps(cover_tree(data, float(np.sqrt(2 - 2 * cosine))))
-    packed = scratch.save(pack(dealt, "key", _unit, "<f8", index), "blocks")
+    index = lambda data: pickle.dumps(_small(*cover_tree(_unit(data), float(np.sqrt(2 - 2 * cosine)))))
+    packed = scratch.save(pack(dealt, "key", index=index), "blocks")
     per = packed.join(sizes, F.col("dims") == F.col("d"))
     own = F.col("block") % (1 << 32)
     paired = per.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "dims", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), "block", "n", "ids", "data", "index"
+        "dims", F.least(own, "other").alias("i"), F.greatest(own, "other").alias("j"), "block", "n", "ids", "data", "kind", "index"
     )
 
     def compare(table: pa.Table) -> pa.Table:
         members = sorted(table.to_pylist(), key=lambda r: r["block"])
         found = []
         for r in members:
-            ids, x = unpack(r["ids"], r["data"], r["n"], "<f8")
-            found.append((ids, x, pickle.loads(r["index"])))
+            ids, x = unpack(r)
+            found.append((ids, _unit(x), pickle.loads(r["index"])))
         if members[0]["i"] == members[0]["j"]:
             ids, x, tree = found[0]
             return _result(ids, dual_links(x, tree, x, tree, cosine, True))

@@ -46,7 +46,7 @@ LONGEST = 2**63 - 1
 
 def sorted_lists(x: np.ndarray) -> np.ndarray:
     """Row numbers by ascending component, one column per dimension."""
-    return np.argsort(x, axis=0, kind="stable").astype(np.int32)
+    return np.argsort(x, axis=0, kind="stable").astype(np.uint16 if len(x) <= 1 << 16 else np.int32)
 
 
 def integers(x: np.ndarray) -> np.ndarray:
@@ -139,8 +139,8 @@ def search(
     head = F.col("dims").cast("long") * (1 << 32)
     floor = lambda v: np.floor(np.clip(v, -1e308 / scale, 1e308 / scale) * scale)
     lists = lambda data: sorted_lists(data).tobytes()
-    candidates = scratch.save(pack(sized.withColumn("key", head + F.pmod(F.xxhash64("id"), F.col("blocks"))), "key", floor, "<f8", lists), "candidates")
-    asking = pack(sized.filter("asks").withColumn("key", head + F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))), "key", floor, "<f8")
+    candidates = scratch.save(pack(sized.withColumn("key", head + F.pmod(F.xxhash64("id"), F.col("blocks"))), "key", floor, lists), "candidates")
+    asking = pack(sized.filter("asks").withColumn("key", head + F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))), "key", floor)
     queries_packed = scratch.save(asking, "queries")
     own = F.col("block") % (1 << 32)
     groups = F.ceil(F.col("blocks") / blocks_per_task).cast("long")
@@ -148,24 +148,25 @@ def search(
         candidates.join(sizes, F.col("dims") == F.col("d"))
         .filter("parts > 0")
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select("dims", "part", (own % groups).alias("group"), F.lit(1).alias("kind"), "block", "n", "ids", "data", "index")
+        .select("dims", "part", (own % groups).alias("group"), F.lit(1).alias("role"), "block", "n", "ids", "data", "kind", "index")
     )
     q = (
         queries_packed.join(sizes, F.col("dims") == F.col("d"))
         .withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)))
-        .select("dims", own.alias("part"), "group", F.lit(0).alias("kind"), "block", "n", "ids", "data", "index")
+        .select("dims", own.alias("part"), "group", F.lit(0).alias("role"), "block", "n", "ids", "data", "kind", "index")
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        members = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["block"]))
-        if members[0]["kind"] != 0:
+        members = sorted(table.to_pylist(), key=lambda r: (r["role"], r["block"]))
+        if members[0]["role"] != 0:
             return RESULT.empty_table()
-        asks, x = unpack(members[0]["ids"], members[0]["data"], members[0]["n"], "<f8")
+        asks, x = unpack(members[0])
         empty = np.empty(0, dtype=np.int64)
         results = [(empty, empty)] * len(asks)
         for r in members[1:]:
-            ids, values = unpack(r["ids"], r["data"], r["n"], "<f8")
-            block = Block(ids, values, np.frombuffer(r["index"], dtype=np.int32).reshape(r["n"], -1))
+            ids, values = unpack(r)
+            whole = np.frombuffer(r["index"], dtype=np.uint16 if r["n"] <= 1 << 16 else np.int32)
+            block = Block(ids, values, whole.reshape(r["n"], -1))
             results = [block.search(x[i], int(asks[i]), k, *results[i])[:2] for i in range(len(asks))]
         who = np.repeat(asks, [len(s) for s, _ in results])
         return pa.Table.from_arrays([pa.array(who), *(pa.array(np.concatenate([r[part] for r in results])) for part in (1, 0))], schema=RESULT)
