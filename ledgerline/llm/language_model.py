@@ -598,7 +598,7 @@ def score(
     chunk_tokens: int = 2_000_000,
     node_tokens: int = 2_000_000,
 ) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learns where ``held`` is false."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity); learns where ``held`` is false."""
     scratch = Scratch(spark, "lm")
     kind = lambda df, *kinds: df.filter(F.col("kind").isin(*kinds))
     save = lambda df, name: scratch.save(df, name, ["kind"])
@@ -638,4 +638,7 @@ def score(
     told_words = at_nodes(kind(words, "word").union(asked), nodes, send_samples)
     last = kind(told, "chunk").union(seen).union(told_words)
     scored = _spread(last, nodes).applyInArrow(_scores(dict(model), roots, nodes), SCORES)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model["tokens"])).cast("long").alias("train_tokens"), "base_score", "score")
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model["tokens"])).cast("long").alias("train_tokens"), "base_score", "score", perplexity
+    )

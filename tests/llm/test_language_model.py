@@ -133,14 +133,14 @@ def test_scores_equal_a_plain_sampler(spark):
     docs = corpus()
     frame = spark.createDataFrame([(d, t, 1, "x") for d, t in docs] + [(500, None, 1, "x")], "doc_id long, text string, kind int, node string")
     held = F.col("doc_id") % 5 == 0
-    got = {r.doc_id: r for r in lm.score(spark, frame, held, burn_in=10, samples=30, chunk_tokens=700, node_tokens=500).collect()}
+    got = {r.doc_id: r for r in lm.score(spark, frame, held, burn_in=5, samples=30, chunk_tokens=700, node_tokens=500).collect()}
     train = [t.split() for d, t in docs if d % 5]
     pairs = Counter(p for words in train for p in zip(["", *words], [*words, ""]))
     once, twice = (sum(c == n for c in pairs.values()) for n in (1, 2))
     into = Counter(w for _, w in pairs)
     d = lm.discount(once, twice)
     d0 = lm.discount(*(sum(c == n for c in into.values()) for n in (1, 2)))
-    probability = plain_model(train, d, d0, 1.0, 200, 40)
+    probability = plain_model(train, d, d0, 1.0, 150, 30)
     for doc, text in docs:
         words = text.split()
         want = sum(math.log10(probability[p]) for p in zip(["", *words], [*words, ""]))
@@ -148,5 +148,5 @@ def test_scores_equal_a_plain_sampler(spark):
     # probabilities after a context add up to one, unknown words included
     vocabulary = {w for _, w in probability} - {"never seen"}
     assert sum(probability["w1", w] for w in vocabulary) + probability["w1", "never seen"] == pytest.approx(1.0, abs=1e-6)
-    again = {r.doc_id: r.score for r in lm.score(spark, frame, held, burn_in=10, samples=30, chunk_tokens=5000, node_tokens=5000).collect()}
+    again = {r.doc_id: r.score for r in lm.score(spark, frame, held, burn_in=5, samples=30, chunk_tokens=5000, node_tokens=5000).collect()}
     assert all(again[i] == pytest.approx(got[i].score, abs=0.02 * got[i].n_tokens) for i in again)
