@@ -66,11 +66,11 @@ def ranked(use: DataFrame, key: str, most: int | None = None) -> DataFrame:
 
 
 def cumulative(use: DataFrame, key: str) -> DataFrame:
-    """(key, bytes, start_pct, end_pct): each key's arc of the whole, largest first."""
+    """(key, bytes, start_ppm, end_ppm): each key's arc of the whole in millionths, largest first."""
     order = Window.orderBy(F.desc("bytes"), key)
     upto = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    share = lambda b: F.coalesce(F.try_divide(b * 100.0, F.sum("bytes").over(Window.partitionBy())), F.lit(0.0))
-    return use.select(key, "bytes", F.round(share(upto - F.col("bytes")), 6).alias("start_pct"), F.round(share(upto), 6).alias("end_pct"))
+    share = lambda b: F.coalesce(F.floor(F.try_divide(b * 1000000.0, F.sum("bytes").over(Window.partitionBy()))), F.lit(0)).cast("long")
+    return use.select(key, "bytes", share(upto - F.col("bytes")).alias("start_ppm"), share(upto).alias("end_ppm"))
 
 
 def bar_chart(use: DataFrame) -> DataFrame:

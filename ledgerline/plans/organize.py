@@ -39,13 +39,16 @@ def unique_names(moves: DataFrame, taken: DataFrame) -> DataFrame:
     arrivals = numbered(scratch, moves, group, ["source"], "__r").join(bare, group, "left")
     arrivals = scratch.save(arrivals.withColumn("__k", F.col("__r") - F.when(F.col("__bare_taken"), 0).otherwise(1)), "arrivals")
 
-    # numbers in use, by the name without them
+    # numbers in use, by the name without them; written once, so that the parts of a name are found once
+    numbered_ones = taken.select(*group).unionByName(moves.select(*group)).filter(F.col("name").rlike(r" \(\d{1,9}\)")).distinct()
+    parts = scratch.save(numbered_ones.select("folder", names.stem(F.col("name")).alias("__stem"), names.suffix(F.col("name")).alias("__suffix")), "parts")
     pattern = r"(?s)^(.*) \((\d{1,9})\)$"
-    old, suffix = names.stem(F.col("name")), names.suffix(F.col("name"))
-    digits = F.regexp_extract(old, pattern, 2)
-    busy = taken.select(*group).unionByName(moves.select(*group)).distinct().filter(old.rlike(pattern))
-    used = busy.filter((digits.try_cast("int").cast("string") == digits) & (digits.try_cast("int") > 0)).select(
-        "folder", F.concat(F.regexp_extract(old, pattern, 1), suffix).alias("name"), digits.try_cast("long").alias("__u")
+    found = parts.filter(F.col("__stem").rlike(pattern)).select(
+        "folder", "__suffix", F.regexp_extract("__stem", pattern, 1).alias("__base"), F.regexp_extract("__stem", pattern, 2).alias("__digits")
+    )
+    plain = F.col("__digits").try_cast("int")
+    used = found.filter((plain > 0) & (plain.cast("string") == F.col("__digits")) & (F.col("__base") != "")).select(
+        "folder", F.concat("__base", "__suffix").alias("name"), plain.cast("long").alias("__u")
     )
     met = used.join(moves.select(*group).distinct(), group, "left_semi")
     gaps = numbered(scratch, met, group, ["__u"], "__j").select(*group, (F.col("__u") - F.col("__j") + 1).alias("__at"), F.lit(0).alias("__arrives"), F.col("__u").alias("__tie"))

@@ -561,7 +561,7 @@ ORACLES = {
         SELECT *, CAST(row_number() OVER (ORDER BY bytes DESC, ext) AS INTEGER) AS position FROM g""",
     "storage_share_cumulative": f"""{FILES}, g AS (SELECT category, {_BYTES} FROM scanned GROUP BY category),
         h AS (SELECT *, CAST(sum(bytes) OVER (ORDER BY bytes DESC, category ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto, CAST(sum(bytes) OVER () AS BIGINT) AS total FROM g)
-        SELECT category, bytes, round((upto - bytes) * CAST(100 AS DOUBLE) / total, 6) AS start_pct, round(upto * CAST(100 AS DOUBLE) / total, 6) AS end_pct FROM h""",
+        SELECT category, bytes, CAST(floor((upto - bytes) * CAST(1000000 AS DOUBLE) / total) AS BIGINT) AS start_ppm, CAST(floor(upto * CAST(1000000 AS DOUBLE) / total) AS BIGINT) AS end_ppm FROM h""",
     "storage_bars": f"""{FILES}, g AS (SELECT category, {_BYTES} FROM scanned GROUP BY category)
         SELECT CAST(row_number() OVER (ORDER BY bytes DESC, category) AS INTEGER) AS position, rpad(category, 16, ' ') || ' ' ||
                repeat('█', CAST(greatest(1, round_even(bytes / max(bytes) OVER () * 30, 0)) AS INTEGER)) || ' ' ||
