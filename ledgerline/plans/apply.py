@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
@@ -22,12 +22,19 @@ def apply_moves(
     Feed it ``plan.toLocalIterator()``: rows stream through the driver.  Missing
     sources and taken places are left alone and not logged.  A dry run does and
     logs nothing.  With several ``workers`` moves run at once, so a plan whose
-    moves depend on each other needs one.
+    moves depend on each other needs one; a place that an earlier move of the
+    plan names then counts as taken, so no two moves can meet there.
     """
+    named: set[str] = set()
 
-    def move(pair: tuple[str, str]) -> dict[str, str] | None:
-        source, destination = pair
-        if dry_run or not os.path.exists(source) or os.path.exists(destination):
+    def first_there(pairs: Iterable[tuple[str, str]]) -> Iterator[tuple[str, str, bool]]:
+        for source, destination in pairs:
+            yield source, destination, workers == 1 or destination not in named
+            named.add(destination)
+
+    def move(planned: tuple[str, str, bool]) -> dict[str, str] | None:
+        source, destination, is_first = planned
+        if dry_run or not is_first or not os.path.exists(source) or os.path.exists(destination):
             if on_skip and not dry_run:
                 on_skip(source, destination)
             return None
@@ -38,10 +45,10 @@ def apply_moves(
         return {"source": source, "destination": destination}
 
     if workers == 1 or dry_run:
-        done = map(move, moves)
+        done = map(move, first_there(moves))
         return [entry for entry in done if entry]
     with ThreadPoolExecutor(workers) as pool:
-        return [entry for entry in pool.map(move, moves) if entry]
+        return [entry for entry in pool.map(move, first_there(moves)) if entry]
 
 
 def write_run_log(folder: str, log: list[dict[str, str]], now: datetime) -> str | None:
