@@ -11,6 +11,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,21 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Whether Spark deletes an execution's shuffle files as it ends, not only when its plan is collected as garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go as soon as it is written."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Tables of one query, under a folder of its own inside the shared root, which goes with the application."""
 
@@ -53,7 +70,8 @@ class Scratch:
         """
         self._count += 1
         path = f"{self.path}/{self._count:03d}-{name}"
-        df.write.partitionBy(*parts or []).option("compression", "zstd").parquet(path)
+        with brief_shuffles(self.spark):
+            df.write.partitionBy(*parts or []).option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     def drop(self, df: DataFrame, *parts: str) -> None:
