@@ -29,6 +29,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerline.sources.scratch import brief_shuffles
+
 CRLF = "\r\n"
 # Fixed value.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,10 +83,12 @@ def write_archive(spark: SparkSession, pages: DataFrame, path: str, revisit_from
     again = (F.col("size") >= revisit_from) & ~F.col("page_id").eqNullSafe(F.col("owner"))
     block = header_block(F.col("page_id"), F.col("url"), F.col("size"), F.col("sha1"), F.when(again, F.col("owner")), date)
     headers = named.select("page_id", "digest", block.cast("binary").alias("header"))
-    headers.write.option("compression", "zstd").parquet(archive.headers)
     # one row per digest: map-side partial aggregation drops copies before the bytes move
     stored = rows.groupBy("digest").agg(F.any_value("payload").alias("payload"))
-    stored.write.option("compression", "zstd").parquet(archive.payloads)
+    # the shuffled bytes go before the archive is read, which moves them again
+    with brief_shuffles(spark):
+        headers.write.option("compression", "zstd").parquet(archive.headers)
+        stored.write.option("compression", "zstd").parquet(archive.payloads)
     return archive
 
 
