@@ -41,8 +41,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of every group of near copies: SimHash candidates, verified at similarity 0.8 of five-word shingles."""
-    groups = similar.near_duplicates(spark, docs, words=5, similarity=0.8)
-    dropped = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
+    search, kept = Scratch(spark, "similar"), Scratch(spark, "dropped")
+    groups = similar.near_duplicates(spark, docs, words=5, similarity=0.8, scratch=search)
+    dropped = kept.save(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct(), "dropped")
+    search.clear()  # the tables of the search would lie there through all later stages
     return docs.join(dropped.alias("gone"), docs["doc_id"] == F.col("gone.__dropped"), "left_anti")
 
 
@@ -78,7 +80,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        made = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.drop(docs)
+        docs = made
     return docs
 
 

@@ -382,10 +382,14 @@ def verified_groups(scratch: Scratch, found: DataFrame, texts: Callable[[], Data
 
 
 def near_duplicates(
-    spark: SparkSession, documents: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 16, width: int = 20, block: int = 1 << 17, unit: int = 512
+    spark: SparkSession, documents: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 16, width: int = 20, block: int = 1 << 17, unit: int = 512,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
-    """``documents`` (doc_id, text) to (doc_id, component_id): the smallest doc_id reachable over similar texts."""
-    scratch, least = Scratch(spark, "similar"), Fraction(str(similarity))
+    """``documents`` (doc_id, text) to (doc_id, component_id): the smallest doc_id reachable over similar texts.
+
+    A caller that gives its own ``scratch`` may clear it when it has read the result.
+    """
+    scratch, least = scratch or Scratch(spark, "similar"), Fraction(str(similarity))
     bare = F.trim(F.lower("text"), F.lit(" \t\n\r\x0b\x0c")) == ""
     own = F.xxhash64(F.when(bare, F.lit("")).otherwise(F.sha2("text", 256)))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).filter("doc is not null")

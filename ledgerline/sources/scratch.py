@@ -81,6 +81,11 @@ class Scratch:
                 path, files = self._hadoop(parent)
                 files.delete(path, True)
 
+    def clear(self) -> None:
+        """Deletes all tables of this query, once nothing reads them any more."""
+        folder, files = self._hadoop(self.path)
+        files.delete(folder, True)
+
     def release(self) -> None:
         """Lets Spark delete the shuffle files of finished jobs, which it does when their plans are collected as garbage."""
         gc.collect()
